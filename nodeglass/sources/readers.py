@@ -1,6 +1,5 @@
 """Readers for the three CSV inputs and for tables written by this library."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from nodeglass import schemas, settings as S
@@ -9,14 +8,16 @@ from nodeglass.functions import (
 )
 
 
+def path_exists(spark, path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_table(spark, path, schema):
     """A Parquet table, or an empty one while nothing has been written yet."""
-    try:
+    if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def _read_csv(spark, path, types):
