@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from nodeglass import settings as S
-from nodeglass.functions import window_id
+from nodeglass.functions import load_version
 
 
 def detected_nodes(scored, threshold=S.ANOMALY_THRESHOLD):
@@ -28,16 +28,16 @@ def all_detected(first, second):
 
 
 def coverage_report(flagged, nodes, window=S.WINDOW):
-    """Detection per window version and overall, against the infected nodes.
+    """Detection per layout version and overall, against the infected nodes.
 
-    ``flagged`` holds the flagged logs. One pass marks, per node, in which of
-    the first two windows it was caught; the sets of the report are sums over
-    that one row per node.
+    ``flagged`` holds the flagged logs. One pass marks, per node, under which
+    versions it was caught; the sets of the report are sums over that one row
+    per node.
     """
-    first = window_id("log_id", window)
+    version = load_version("log_id", "cyclic", window)
     caught = flagged.groupBy("node_id").agg(
-        F.max((first == 0).cast("int")).alias("v1"),
-        F.max((first == 1).cast("int")).alias("v2"),
+        F.max((version == 1).cast("int")).alias("v1"),
+        F.max((version == 2).cast("int")).alias("v2"),
     ).withColumn("total", F.greatest("v1", "v2"))
     marked = truth_nodes(nodes).withColumn("is_true", F.lit(1)).join(caught, "node_id", "full").na.fill(
         0, ["is_true", "v1", "v2", "total"]

@@ -57,9 +57,10 @@ def trailing(df, max_id, window=S.WINDOW):
     return since(df, trailing_start(max_id, window))
 
 
-def id_range(df, start, end):
-    """Half-open id range."""
-    return df.filter((F.col("log_id") >= start) & (F.col("log_id") < end))
+def id_range(df, start, end=None):
+    """Half-open id range; without ``end``, everything from ``start`` on."""
+    kept = df.filter(F.col("log_id") >= start)
+    return kept if end is None else kept.filter(F.col("log_id") < end)
 
 
 def above(df, last_seen):

@@ -406,10 +406,10 @@ def _(t):
 
 
 @query("fi5_id_ranges", """
-SELECT log_id, CASE WHEN log_id < 5000 THEN 'v1' ELSE 'v2' END AS slice FROM logs WHERE log_id < 10000""")
+SELECT log_id, CASE WHEN log_id < 5000 THEN 'v1' ELSE 'v2' END AS slice FROM logs""")
 def _(t):
-    part = lambda name, a, b: windows.id_range(t.logs, a, b).select("log_id", F.lit(name).alias("slice"))
-    return part("v1", 0, S.WINDOW).union(part("v2", S.WINDOW, 2 * S.WINDOW))
+    part = lambda name, *ends: windows.id_range(t.logs, *ends).select("log_id", F.lit(name).alias("slice"))
+    return part("v1", 0, S.WINDOW).union(part("v2", S.WINDOW))
 
 
 _STATUS = """
@@ -781,35 +781,34 @@ def _(t):
 
 # Set operations -------------------------------------------------------------
 
-def _slice(t, first):
-    return windows.id_range(t.rule_scored, first, first + S.WINDOW)
+def _detected(t, version):
+    """Nodes caught while one layout version was live."""
+    return audit.detected_nodes(t.rule_scored.filter(X.load_version() == version), -0.1)
 
 
-_V1 = "(SELECT DISTINCT node_id FROM logs WHERE log_id < 5000 AND response_time_ms > 300)"
-_V2 = "(SELECT DISTINCT node_id FROM logs WHERE log_id BETWEEN 5000 AND 9999 AND response_time_ms > 300)"
+_CAUGHT = "(SELECT DISTINCT node_id FROM logs WHERE (log_id // 5000) % 2 = {} AND response_time_ms > 300)"
+_V1, _V2 = _CAUGHT.format(0), _CAUGHT.format(1)
 _TRUTH = "(SELECT node_uuid AS node_id FROM nodes WHERE is_infected)"
 
 
 @query("so1_detected_nodes", f"SELECT node_id FROM {_V1} x")
 def _(t):
-    return audit.detected_nodes(_slice(t, 0), -0.1)
+    return _detected(t, 1)
 
 
 @query("so2_correct_hits", f"SELECT node_id FROM {_V1} x INTERSECT SELECT node_id FROM {_TRUTH} y")
 def _(t):
-    return audit.correct_hits(audit.detected_nodes(_slice(t, 0), -0.1), audit.truth_nodes(t.nodes))
+    return audit.correct_hits(_detected(t, 1), audit.truth_nodes(t.nodes))
 
 
 @query("so3_missed_nodes", f"SELECT node_id FROM {_TRUTH} x EXCEPT SELECT node_id FROM {_V2} y")
 def _(t):
-    return audit.missed_nodes(audit.detected_nodes(_slice(t, S.WINDOW), -0.1), audit.truth_nodes(t.nodes))
+    return audit.missed_nodes(_detected(t, 2), audit.truth_nodes(t.nodes))
 
 
 @query("so4_all_detected", f"SELECT node_id FROM {_V1} x UNION SELECT node_id FROM {_V2} y")
 def _(t):
-    return audit.all_detected(
-        audit.detected_nodes(_slice(t, 0), -0.1), audit.detected_nodes(_slice(t, S.WINDOW), -0.1)
-    )
+    return audit.all_detected(_detected(t, 1), _detected(t, 2))
 
 
 @query("so5_coverage", f"""
@@ -821,7 +820,7 @@ SELECT scope, count(*) AS detected, count(t.node_id) AS correct,
        round(100.0 * count(t.node_id) / (SELECT count(*) FROM truth)::DOUBLE, 9) AS coverage_pct
 FROM d LEFT JOIN truth t ON t.node_id = d.node_id GROUP BY scope""")
 def _(t):
-    caught = windows.id_range(t.rule_scored, 0, 2 * S.WINDOW).filter("anomaly_score < -0.1")
+    caught = t.rule_scored.filter("anomaly_score < -0.1")
     return _rounded(audit.coverage_report(caught, t.nodes), "coverage_pct")
 
 
