@@ -815,10 +815,11 @@ def _(t):
 WITH d AS (SELECT 'v1' AS scope, node_id FROM {_V1} a UNION ALL SELECT 'v2', node_id FROM {_V2} b
            UNION ALL SELECT 'total', node_id FROM (SELECT node_id FROM {_V1} c UNION SELECT node_id FROM {_V2} e) u),
 truth AS (SELECT node_id FROM {_TRUTH} f)
-SELECT scope, count(*) AS detected, count(t.node_id) AS correct,
+SELECT scope, count(d.node_id) AS detected, count(t.node_id) AS correct,
        (SELECT count(*) FROM truth) - count(t.node_id) AS missed, (SELECT count(*) FROM truth) AS truth,
        round(100.0 * count(t.node_id) / (SELECT count(*) FROM truth)::DOUBLE, 9) AS coverage_pct
-FROM d LEFT JOIN truth t ON t.node_id = d.node_id GROUP BY scope""")
+FROM (VALUES ('v1'), ('v2'), ('total')) s(scope) LEFT JOIN d USING (scope)
+LEFT JOIN truth t ON t.node_id = d.node_id GROUP BY scope""")
 def _(t):
     caught = t.rule_scored.filter("anomaly_score < -0.1")
     return _rounded(audit.coverage_report(caught, t.nodes), "coverage_pct")

@@ -146,7 +146,11 @@ def read_log_stream(spark, path, schema, fmt="parquet", files_per_batch=None, na
 
 
 def drop_repeats(stream, delay="10 minutes"):
-    """Drop a log delivered again within ``delay``; state older than that goes."""
+    """Drop a log delivered again within ``delay``.
+
+    The state kept is bounded by the delay, which also means that a log more
+    than ``delay`` older than the newest one seen counts as late and is left out.
+    """
     timed = stream.withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
     return timed.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(
         ["node_id", "ingested_at", "log_id"]
