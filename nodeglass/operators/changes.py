@@ -29,7 +29,11 @@ def with_previous(df, order, value, previous, block=100_000):
 
 def rotation_events(logs, window=S.WINDOW, mode="cyclic"):
     """Windows whose layout version differs from that of the window before."""
-    windows = logs.select(window_id("log_id", window).alias("window_id")).distinct()
+    return rotations_of(logs.select(window_id("log_id", window).alias("window_id")).distinct(), window, mode)
+
+
+def rotations_of(windows, window=S.WINDOW, mode="cyclic"):
+    """As ``rotation_events``, from a table with one row per ``window_id``."""
     versions = windows.withColumn("version", load_version(F.col("window_id") * window, mode, window))
     return with_previous(versions, "window_id", "version", "previous_version").filter(
         F.col("version") != F.col("previous_version")

@@ -17,11 +17,14 @@ from pyspark.sql import Window, functions as F
 from nodeglass import settings as S
 from nodeglass.operators.features import LOG_FEATURES, log_features, scaler_stats, standardise
 from nodeglass.operators.order_stats import exact_quantile
-from nodeglass.session import materialise
+from nodeglass.session import materialise, staged
 
 _TREE_SCHEMA = "tree_id int, slot int, feature int, threshold double, leaf_size long"
 _HASH_RANGE = 1 << 52
 
+# Tables up to this length are spread over the cores before Python work.
+SPREAD_ROWS = 1_000_000
+
 
 @dataclass
 class ForestModel:
@@ -32,6 +35,14 @@ class ForestModel:
     load_fill: float
     subsample: int
     offset: float = 0.0
+    _shared: object = None
+
+    def shared(self):
+        """The packed trees as a broadcast, made once per model."""
+        if self._shared is None:
+            context = self.trees.sparkSession.sparkContext
+            self._shared = context.broadcast(_packed(self.trees, self.subsample))
+        return self._shared
 
 
 def _hash(seed, *columns):
@@ -48,17 +59,19 @@ def tree_samples(features, trees, subsample, seed, row_count, key="log_id"):
     shuffled, and the lowest hashes of each tree are its sample.
     """
     wanted = min(subsample, row_count)
-    if row_count >= 2 * trees * wanted:
-        limit = min(1.0, 8 * trees * wanted / row_count) * _HASH_RANGE
-        dealt = features.filter(_hash(seed, key) < int(limit)).withColumn(
+    if row_count >= 1.5 * trees * wanted:
+        limit = int(min(1.0, 8 * trees * wanted / row_count) * _HASH_RANGE)
+        dealt = features.filter(_hash(seed, key) < limit).withColumn(
             "tree_id", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(trees)).cast("int")
         )
     else:
+        # At most 1.5 x trees x subsample rows get here; they are spread out
+        # first, since a small table often sits in one file.
         limit = int(min(1.0, (4 * wanted + 400) / row_count) * _HASH_RANGE)
-        drawn = F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _hash(seed, F.col(key), t) < limit
+        every_tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+        dealt = features.repartition(F.col(key)).withColumn("tree_id", every_tree).filter(
+            _hash(seed, key, "tree_id") < limit
         )
-        dealt = features.withColumn("tree_id", F.explode(drawn))
     place = _hash(seed + 2, key, "tree_id")
     in_tree = Window.partitionBy("tree_id").orderBy("_place", key)
     return (
@@ -150,10 +163,13 @@ def _path_lengths(points, feature, threshold, path, depth):
     return total / len(feature)
 
 
-def _with_scores(scaled, trees, subsample, columns, offset):
-    """Add ``anomaly_score``; every other column passes through."""
-    packed = scaled.sparkSession.sparkContext.broadcast(_packed(trees, subsample))
-    scale = float(average_path(subsample))
+def score_features(features, model, columns=LOG_FEATURES):
+    """Add ``anomaly_score`` to unscaled features; the features come out scaled.
+
+    Lower is more anomalous, 0 is the cut.
+    """
+    scaled = standardise(features, model.scaler, columns)
+    packed, scale, offset = model.shared(), float(average_path(model.subsample)), model.offset
 
     def score(batches):
         feature, threshold, path, depth = packed.value
@@ -166,12 +182,6 @@ def _with_scores(scaled, trees, subsample, columns, offset):
     return scaled.mapInPandas(score, f"{kept}, anomaly_score double")
 
 
-def score_features(features, model, columns=LOG_FEATURES):
-    """Score unscaled features; lower is more anomalous, 0 is the cut."""
-    scaled = standardise(features, model.scaler, columns)
-    return _with_scores(scaled, model.trees, model.subsample, columns, model.offset)
-
-
 def fit_forest(features, load_fill, trees=S.FOREST_TREES, subsample=S.FOREST_SUBSAMPLE,
                contamination=S.CONTAMINATION, seed=S.SEED, columns=LOG_FEATURES):
     """Fit scaling, trees and the offset that flags a ``contamination`` share."""
@@ -184,9 +194,11 @@ def fit_forest(features, load_fill, trees=S.FOREST_TREES, subsample=S.FOREST_SUB
     # Bounded by the forest's parameters; written once so all users see one forest.
     forest = materialise(fit_trees(scaled, trees, subsample, seed, count, columns))
     model = ForestModel(forest, scaler, load_fill, psi)
-    # Scores are needed more than once to find the quantile; keep only them.
-    training = materialise(score_features(features, model, columns).select("anomaly_score"))
-    model.offset = exact_quantile(training, "anomaly_score", contamination)
+    # A short table may sit in one file; scoring it should still use all cores.
+    spread = features.repartition("log_id") if count <= SPREAD_ROWS else features
+    scores = score_features(spread, model, columns).select("anomaly_score")
+    with staged(scores, "training-scores") as training:
+        model.offset = exact_quantile(training, "anomaly_score", contamination)
     return model
 
 

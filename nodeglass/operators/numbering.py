@@ -8,18 +8,18 @@ from nodeglass.session import materialise
 _PLACE_BITS = (1 << 33) - 1
 
 
-def number_rows(df, column, start=0, order_by=None):
+def number_rows(df, column, start=0, order_by=None, stage=materialise):
     """Add ``column`` = start, start + 1, ... without gaps.
 
     With ``order_by`` (a unique key) the numbers follow it and do not depend on
     the partitioning; without it they follow the partition order. Rows are
     written out with their partition and place, the partition sizes give each
     partition its offset, and only those sizes (one row per partition) meet in
-    one task.
+    one task. ``stage`` writes the placed rows and returns them from storage.
     """
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    placed = materialise(df.withColumns({
+    placed = stage(df.withColumns({
         "_part": F.spark_partition_id(),
         "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS)),
     }))

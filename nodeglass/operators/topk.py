@@ -4,6 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from nodeglass import settings as S
 from nodeglass.operators.numbering import number_rows
+from nodeglass.operators.windows import newest_folder
 
 # Pages up to here are taken by a bounded top-k; deeper ones by row number.
 SHALLOW = 100_000
@@ -44,7 +45,10 @@ def anomaly_page(anomalies, skip=0, limit=200):
 
 
 def latest_logs(logs, count):
-    return logs.orderBy(F.desc("log_id")).limit(count)
+    """Newest first. In a stored log table the newest folder is usually enough."""
+    newest = newest_folder(logs)
+    enough = newest is not logs and newest.select("log_id").limit(count).count() == count
+    return (newest if enough else logs).orderBy(F.desc("log_id")).limit(count)
 
 
 def table_view(df, key, steps=1, step_size=50):

@@ -6,9 +6,19 @@ from nodeglass import settings as S
 from nodeglass.functions import window_id
 
 
+def newest_folder(logs):
+    """The part of a stored log table that holds the highest ids.
+
+    Found from the folder names; other tables are returned as they are.
+    """
+    if "id_folder" not in logs.columns:
+        return logs
+    return logs.filter(F.col("id_folder") == logs.agg(F.max("id_folder")).scalar())
+
+
 def max_log_id(logs):
     """One row: the highest log id, 0 for an empty table."""
-    return logs.agg(F.coalesce(F.max("log_id"), F.lit(0).cast("long")).alias("max_log_id"))
+    return newest_folder(logs).agg(F.coalesce(F.max("log_id"), F.lit(0).cast("long")).alias("max_log_id"))
 
 
 def snapshot(logs):

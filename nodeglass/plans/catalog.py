@@ -900,6 +900,14 @@ def _(t):
     return changes.rotation_events(t.logs)
 
 
+@query("st8_rotation_events_stream", """
+SELECT window_id, CAST(3 - version AS INT) AS previous_version, version FROM (
+  SELECT DISTINCT log_id // 5000 AS window_id, CAST((log_id // 5000) % 2 + 1 AS INT) AS version FROM logs) w
+WHERE window_id > 0""")
+def _(t):
+    return ingest.committed_rotations(t.spark, t.run_ingest(t.event_stream()))
+
+
 @query("st9_anomaly_increase", """
 SELECT refresh, CAST(total AS BIGINT) AS total, CAST(coalesce(before, 0) AS BIGINT) AS previous_total,
        CAST(total - coalesce(before, 0) AS BIGINT) AS increase FROM (

@@ -2,15 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from nodeglass import schemas, settings as S
+from nodeglass import settings as S
 from nodeglass.functions import (
     decode_serial_number, effective_load, http_label, load_version, null_if_nan,
 )
-
-
-def path_exists(spark, path):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+from nodeglass.session import path_exists
 
 
 def read_table(spark, path, schema):

@@ -61,10 +61,19 @@ def append_logs(logs, path, ids_per_folder=S.IDS_PER_FOLDER):
 
 
 def seed_logs(logs, path, ids_per_folder=S.IDS_PER_FOLDER):
-    """Insert logs with unseen ids; returns how many."""
+    """Insert logs with unseen ids; returns how many.
+
+    The stored table is only compared within the id range being loaded.
+    """
     target = read_table(logs.sparkSession, path, schemas.LOGS)
-    fresh = new_rows(schemas.conform(logs, schemas.LOGS), target, ["log_id"])
-    return append_logs(fresh, path, ids_per_folder)
+    logs = schemas.conform(logs, schemas.LOGS)
+    first, last = logs.agg(F.min("log_id"), F.max("log_id")).first()
+    if first is None:
+        return 0
+    target = target.filter(F.col("log_id").between(first, last))
+    if "id_folder" in target.columns:
+        target = target.filter(F.col("id_folder").between(first // ids_per_folder, last // ids_per_folder))
+    return append_logs(new_rows(logs, target, ["log_id"]), path, ids_per_folder)
 
 
 def refresh_reference_tables(raw_nodes, raw_config, nodes_path, config_path):

@@ -12,6 +12,7 @@ from pyspark.sql import Observation, Window, functions as F, types as T
 
 from nodeglass import schemas, settings as S
 from nodeglass.functions import fallback_load, load_version
+from nodeglass.operators.changes import rotations_of
 from nodeglass.operators.features import with_load
 from nodeglass.operators.forest import anomaly_records, score_logs
 from nodeglass.operators.numbering import number_rows
@@ -60,6 +61,15 @@ class Sink:
         )
         return seen.get["rows"]
 
+    def stage(self, df):
+        """Write rows of the batch in hand and read them back.
+
+        One folder, replaced by every batch, so nothing piles up.
+        """
+        path = f"{self.root}/staging"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     def read(self, spark, table):
         """Rows of committed batches."""
         ledger = read_table(spark, f"{self.root}/ledger", _with_batch(LEDGER))
@@ -98,7 +108,7 @@ def ingest_batch(batch, batch_id, sink, nodes=None, forest=None, order_by=None,
         start = sink.next_id(spark, batch_id, first_id)
         own_ids = "log_id" in batch.columns
         if not own_ids:
-            valid = number_rows(valid, "log_id", start, order_by)
+            valid = number_rows(valid, "log_id", start, order_by, sink.stage)
         sink.write(rejected, "rejected", batch_id)
         ingested = sink.write(valid, "logs", batch_id)
     finally:
@@ -166,6 +176,11 @@ def committed_window_totals(spark, sink):
     )
 
 
+def committed_rotations(spark, sink, window=S.WINDOW):
+    """Rotation events so far, from the totals instead of the logs."""
+    return rotations_of(committed_window_totals(spark, sink), window)
+
+
 def current_window(spark, sink):
     """Totals of the newest window; they start over at each rotation."""
     totals = committed_window_totals(spark, sink)

@@ -1,7 +1,7 @@
 import pytest
 
 from nodeglass import schemas, sources
-from nodeglass.operators import features, forest, windows
+from nodeglass.operators import features, forest, topk, windows
 from nodeglass.plans import jobs
 from nodeglass.sources import writers
 
@@ -92,3 +92,20 @@ def test_seed_job_scores_history_once(spark, folder, make_logs, make_nodes):
     stored = sources.read_table(spark, folder("t/anomalies"), schemas.ANOMALIES)
     assert stored.count() == first["anomalies"] and stored.filter("anomaly_score >= 0").count() == 0
 
+
+
+def test_latest_logs_need_only_the_newest_folder(spark, folder, make_logs):
+    logs = make_logs([(i, 1, 200, 10, None, None) for i in range(45)])
+    writers.append_logs(logs, folder("logs"), ids_per_folder=20)
+    stored = sources.read_table(spark, folder("logs"), schemas.LOGS)
+    assert windows.snapshot(stored) == 44
+    for count in (3, 5, 6, 30):  # the newest folder holds 5 logs
+        assert [r["log_id"] for r in topk.latest_logs(stored, count).collect()] == list(range(44, 44 - count, -1))
+
+
+def test_late_seeding_fills_the_gap(spark, folder, make_logs):
+    logs = make_logs([(i, 1, 200, 10, None, None) for i in range(100)])
+    assert sources.seed_logs(logs.filter("log_id < 30 or log_id > 60"), folder("logs"), ids_per_folder=20) == 69
+    assert sources.seed_logs(logs, folder("logs"), ids_per_folder=20) == 31
+    assert sources.seed_logs(logs.limit(0), folder("logs"), ids_per_folder=20) == 0
+    assert sources.read_table(spark, folder("logs"), schemas.LOGS).count() == 100
