@@ -10,11 +10,13 @@ _OUTER_SPACE = rf"(?U)^[{_SPACE}]+|[{_SPACE}]+$"
 
 # A lenient Base64 reading: letters outside the alphabet are skipped, padding
 # where a group has not reached two letters is skipped, and complete padding
-# ends the text. What is left must be whole groups, or it is not Base64.
+# ends the text. What is left must be whole groups, or it is not Base64. The
+# leading mark tells an empty text from one that does not fit.
 _CHAR = "[A-Za-z0-9+/]"
 _GROUP = f"=*{_CHAR}=*{_CHAR}=?{_CHAR}{_CHAR}"
 _LAST_GROUP = f"=*{_CHAR}=*{_CHAR}==|=*{_CHAR}=*{_CHAR}=?{_CHAR}=|=*$"
-_BASE64 = f"^((?:{_GROUP})*(?:{_LAST_GROUP}))"
+_MARK = "."
+_BASE64 = rf"^(\.(?:{_GROUP})*(?:{_LAST_GROUP}))"
 
 
 def decode_serial_number(user_agent):
@@ -26,8 +28,9 @@ def decode_serial_number(user_agent):
     ua = F.col(user_agent) if isinstance(user_agent, str) else user_agent
     word = F.nullif(F.regexp_extract(ua, _LAST_WORD, 1), F.lit(""))
     letters = F.regexp_replace(word, "[^A-Za-z0-9+/=]", "")
-    body = F.regexp_replace(F.regexp_extract(letters, _BASE64, 1), "=", "")
+    fitting = F.regexp_extract(F.concat(F.lit(_MARK), letters), _BASE64, 1)
+    body = F.regexp_replace(F.substr(fitting, F.lit(2)), "=", "")
     padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
     text = F.try_validate_utf8(F.unbase64(padded).cast("string"))
-    readable = word.rlike(r"^[\x00-\x7F]*$") & letters.rlike(_BASE64)
+    readable = (fitting != "") & word.rlike(r"^[\x00-\x7F]*$")
     return F.coalesce(F.when(readable, F.regexp_replace(text, _OUTER_SPACE, "")), word)

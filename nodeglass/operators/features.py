@@ -1,6 +1,6 @@
 """Feature tables for the two detection models."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from nodeglass import settings as S
 from nodeglass.functions import code_flag, resolved_load
@@ -57,7 +57,7 @@ def scaler_stats(features, columns=LOG_FEATURES):
 
 def standardise(features, stats, columns=LOG_FEATURES):
     """Scale by the numbers of a ``scaler_stats`` row."""
-    row = stats.first() if hasattr(stats, "first") else stats
+    row = stats.first() if isinstance(stats, DataFrame) else stats
     return features.withColumns({
         c: (F.col(c) - F.lit(row[f"{c}_mean"])) / F.lit(row[f"{c}_std"]) for c in columns
     })

@@ -1,6 +1,6 @@
 """Count windows over the log id axis."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from nodeglass import settings as S
 from nodeglass.functions import window_id
@@ -26,36 +26,34 @@ def snapshot(logs):
     return max_log_id(logs).first()["max_log_id"]
 
 
-def as_id(max_id):
-    """A pinned number, or a DataFrame of logs whose highest id is meant.
+def _start(max_id, rule):
+    """First id of a window, from a pinned highest id or a table of logs.
 
-    For a DataFrame this is a scalar subquery: it runs before the scan that
-    uses it, so the bound still reaches the Parquet filter.
+    For a table the whole bound is one row of its own, so that it enters other
+    plans as a plain subquery value, which the Parquet filter accepts.
     """
-    if isinstance(max_id, Column):
-        return max_id
-    if hasattr(max_id, "agg"):
-        return max_log_id(max_id).scalar()
-    return F.lit(max_id).cast("long")
+    if isinstance(max_id, DataFrame):
+        return max_log_id(max_id).select(rule(F.col("max_log_id")).alias("start"))
+    return rule(F.lit(max_id).cast("long"))
 
 
 def tumbling_start(max_id, window=S.WINDOW):
     """First id of the window that holds ``max_id``."""
-    return window_id(as_id(max_id), window) * window
+    return _start(max_id, lambda top: window_id(top, window) * window)
 
 
 def trailing_start(max_id, window=S.WINDOW):
     """``window`` ids back from ``max_id``; with it, up to ``window + 1`` ids."""
-    return F.greatest(F.lit(0).cast("long"), as_id(max_id) - window)
+    return _start(max_id, lambda top: F.greatest(F.lit(0).cast("long"), top - window))
 
 
 def since(df, start, ids_per_folder=S.IDS_PER_FOLDER):
     """Rows from id ``start`` on; folders below it are not listed for reading."""
-    kept = df.filter(F.col("log_id") >= start)
+    first = start.scalar() if isinstance(start, DataFrame) else start
+    kept = df.filter(F.col("log_id") >= first)
     if "id_folder" in df.columns:
-        kept = kept.filter(
-            F.col("id_folder") >= F.call_function("div", start, F.lit(ids_per_folder).cast("long"))
-        )
+        first_folder = F.call_function("div", first, F.lit(ids_per_folder).cast("long"))
+        kept = kept.filter(F.col("id_folder") >= first_folder)
     return kept
 
 

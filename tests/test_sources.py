@@ -11,6 +11,10 @@ def folder(tmp_path):
     return lambda name: str(tmp_path / name)
 
 
+def mode(spark, name):
+    return spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(name)
+
+
 def write(path, text):
     with open(path, "w") as f:
         f.write(text)
@@ -61,6 +65,11 @@ def test_log_folders_prune_window_reads(spark, folder, make_logs):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "id_folder" in plan.split("PartitionFilters")[1].split("]")[0]
     assert "GreaterThanOrEqual(log_id" in plan
+    cut = windows.since(stored, windows.trailing_start(stored, 30), ids_per_folder=20)
+    assert sorted(r["log_id"] for r in cut.collect()) == list(range(69, 100))
+    plan = cut._jdf.queryExecution().explainString(mode(spark, "formatted"))
+    assert "GreaterThanOrEqual(log_id,ScalarSubquery" in plan
+    assert "id_folder" in plan.split("PartitionFilters")[1].split("\n")[0]
 
 
 def test_refresh_replaces_and_decodes(spark, folder):
