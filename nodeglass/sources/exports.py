@@ -1,6 +1,6 @@
 """Tables users download."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from nodeglass.functions import display_status, ms_text
 
@@ -27,8 +27,8 @@ def heatmap_export(heatmap):
 
 
 def write_export(table, path, fmt="csv"):
-    """Write as ``csv`` (with header), ``json`` or ``parquet``."""
-    writer = table.write.mode("overwrite")
+    """Write as ``csv`` (with header; lists joined by ``;``), ``json`` or ``parquet``."""
     if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+        lists = [f.name for f in table.schema if isinstance(f.dataType, T.ArrayType)]
+        table = table.withColumns({c: F.array_join(c, ";") for c in lists})
+    table.write.mode("overwrite").format(fmt).option("header", True).save(path)
