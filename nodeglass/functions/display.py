@@ -20,18 +20,15 @@ def ids_to_rotation(max_log_id, window=S.WINDOW):
 
 
 def rotation_timer(max_log_id, window=S.WINDOW):
-    return F.format_string("-%04d_PKTS", ids_to_rotation(max_log_id, window))
+    return F.format_string(S.ROTATION_TIMER, ids_to_rotation(max_log_id, window))
 
 
 def sync_status(active_column):
-    return F.concat(_col(active_column), F.lit("_LOCKED"))
+    return F.concat(_col(active_column), F.lit(S.SYNC_SUFFIX))
 
 
 def log_message(code="http_response_code", latency="response_time_ms"):
-    return F.concat(
-        F.lit("Forensic Packet Recv: "), _col(code).cast("string"),
-        F.lit(" | RT="), _col(latency).cast("string"), F.lit("ms"),
-    )
+    return F.format_string(S.LOG_MESSAGE, _col(code), _col(latency))
 
 
 def iso_timestamp(ts, default=None):

@@ -47,7 +47,7 @@ def code_flag(value, code="http_response_code"):
 
 
 def display_status(infected="is_infected"):
-    return F.when(_col(infected), "INFECTED").otherwise("OPERATIONAL")
+    return F.when(_col(infected), "INFECTED").otherwise(S.CLAIMED_STATUS)
 
 
 def is_alert_line(code="http_response_code"):
@@ -57,4 +57,4 @@ def is_alert_line(code="http_response_code"):
 
 def status_mismatch(json_status="json_status", code="http_response_code"):
     """The device claims to be fine and the HTTP code says otherwise."""
-    return (_col(json_status) == "OPERATIONAL") & (_col(code) != S.HEALTHY_CODE)
+    return (_col(json_status) == S.CLAIMED_STATUS) & (_col(code) != S.HEALTHY_CODE)

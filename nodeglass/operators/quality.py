@@ -17,7 +17,7 @@ def with_reasons(rows):
     code, ms = F.col("http_response_code"), F.col("response_time_ms")
     reason = lambda bad, name: F.when(F.coalesce(bad, F.lit(True)), F.lit(name))
     return rows.withColumns({
-        "json_status": F.coalesce("json_status", F.lit("OPERATIONAL")),
+        "json_status": F.coalesce("json_status", F.lit(S.CLAIMED_STATUS)),
         "reasons": F.array_compact(F.array(
             reason(F.col("node_id").isNull(), "node_id missing"),
             reason(~code.between(*CODE_RANGE), "http_response_code out of range"),
@@ -57,7 +57,7 @@ def quality_report(logs, nodes, mode="step", window=S.WINDOW):
     wrong_column = ((version == 1) & F.col("l_v1").isNotNull()) | ((version == 2) & F.col("load_val").isNotNull())
     counted = logs.agg(
         bad(~F.col("response_time_ms").between(*LATENCY_RANGE)).alias("latency_out_of_range"),
-        bad(F.col("json_status") != "OPERATIONAL").alias("json_status_not_operational"),
+        bad(F.col("json_status") != S.CLAIMED_STATUS).alias("json_status_not_operational"),
         bad(~F.col("http_response_code").isin(KNOWN_CODES)).alias("unexpected_http_code"),
         bad(wrong_column).alias("load_in_inactive_column"),
     )

@@ -94,8 +94,8 @@ def seed(nodes, logs, config, root, forest=None):
 
 def ingest_summary(ingested, anomalies):
     """One row in the wording of the ingest reply."""
-    message = F.when(ingested == 0, "No valid nodes in batch.").otherwise(
-        F.format_string("Successfully ingested %d logs.", ingested)
+    message = F.when(ingested == 0, S.NOTHING_INGESTED_MESSAGE).otherwise(
+        F.format_string(S.INGESTED_MESSAGE, ingested)
     )
     return [
         ingested.alias("ingested_count"), anomalies.alias("anomalies_detected"), message.alias("message"),

@@ -59,7 +59,7 @@ def node_risk(logs, anomalies, nodes, max_id=None, window=S.WINDOW):
     return (
         stats.join(hits, "node_id", "left").join(_serials(nodes), "node_id", "left").select(
             F.col("node_id").alias("node_uuid"),
-            F.coalesce("serial_number", F.lit("UNKNOWN")).alias("serial_number"),
+            F.coalesce("serial_number", F.lit(S.UNKNOWN_SERIAL)).alias("serial_number"),
             round2("avg_rt").alias("avg_response_time_ms"),
             F.coalesce("max_rt", F.lit(0)).cast("int").alias("max_response_time_ms"),
             round2("p95_rt").alias("p95_response_time_ms"),
@@ -140,7 +140,7 @@ def dashboard_metadata(logs, anomalies, max_id, window=S.WINDOW):
         iso_timestamp(latest.scalar()).alias("latest_log_timestamp"),
         F.lit(max_id).cast("long").alias("total_logs_processed"),
         "active_threats", "total_anomalies",
-        F.lit("OPERATIONAL_SYNCED_STRATIFIED").alias("status"),
+        F.lit(S.DASHBOARD_STATUS).alias("status"),
     )
 
 
@@ -163,7 +163,7 @@ def dashboard_nodes(logs, nodes, anomalies, max_id=None, full=False, window=S.WI
         F.col("window_flagged").alias("is_infected"),
         F.lit(False).alias("conflict_detected"),
         F.coalesce("http_response_code", F.lit(200)).alias("last_http_code"),
-        F.coalesce("json_status", F.lit("OPERATIONAL")).alias("reported_json"),
+        F.coalesce("json_status", F.lit(S.CLAIMED_STATUS)).alias("reported_json"),
         *(heavy if full else []),
     )
 

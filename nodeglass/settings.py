@@ -29,6 +29,16 @@ BOOST_ROUNDS = 300
 BOOST_DEPTH = 5
 BOOST_RATE = 0.05
 
+# Texts shown by reports and replies.
+LOG_MESSAGE = "Forensic Packet Recv: %d | RT=%dms"
+ROTATION_TIMER = "-%04d_PKTS"
+SYNC_SUFFIX = "_LOCKED"
+DASHBOARD_STATUS = "OPERATIONAL_SYNCED_STRATIFIED"
+CLAIMED_STATUS = "OPERATIONAL"
+UNKNOWN_SERIAL = "UNKNOWN"
+INGESTED_MESSAGE = "Successfully ingested %d logs."
+NOTHING_INGESTED_MESSAGE = "No valid nodes in batch."
+
 # Physical layout: one partition folder of the log table spans this many ids.
 # It is a multiple of WINDOW, so a count window touches at most two folders,
 # and large enough that a folder holds files of a sensible size.
