@@ -7,10 +7,12 @@ to the scoring tasks.
 """
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Window, functions as F
 
@@ -19,6 +21,10 @@ from nodeglass.operators.features import LOG_FEATURES, log_features, scaler_stat
 from nodeglass.operators.order_stats import exact_quantile
 from nodeglass.session import materialise, staged
 
+# The functions below travel to the executors as code, so that the package need
+# not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TREE_SCHEMA = "tree_id int, slot int, feature int, threshold double, leaf_size long"
 _HASH_RANGE = 1 << 52
 

@@ -1,6 +1,9 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
+from pyspark import cloudpickle
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +138,11 @@ def test_training_job(spark, make_logs, make_nodes, tmp_path):
 
 def test_class_balance_without_positives(make_nodes):
     assert classify.class_balance(make_nodes([(1, "SN-1", False)])).first()[:] == (0, 1, 1.0)
+
+
+def test_task_functions_load_without_the_package(tmp_path):
+    code = cloudpickle.dumps((forest._path_lengths, forest._build_tree))
+    (tmp_path / "code").write_bytes(code)
+    load = "import pickle; print(len(pickle.load(open('code', 'rb'))))"
+    done = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "2", done.stderr
