@@ -31,15 +31,19 @@ def _assembled(node_table):
 def fit_classifier(node_table, rounds=S.BOOST_ROUNDS, depth=S.BOOST_DEPTH, rate=S.BOOST_RATE, seed=S.SEED):
     """Boosted trees with the positive class weighted up to balance."""
     checkpoint_dir(node_table.sparkSession)  # boosting cuts its lineage there
-    weight = class_balance(node_table).first()["positive_weight"]
+    balance = class_balance(node_table).select("positive_weight").scalar()
     rows = _assembled(node_table).select(
         "features", F.col("is_infected").cast("double").alias("label"),
-        F.when(F.col("is_infected"), F.lit(weight)).otherwise(1.0).alias("weight"),
+        F.when(F.col("is_infected"), balance).otherwise(1.0).alias("weight"),
     )
     booster = GBTClassifier(
         maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, weightCol="weight", checkpointInterval=10
     )
-    return booster.fit(rows)
+    rows = rows.persist()  # one row per node, read several times by each round
+    try:
+        return booster.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score_nodes(model, node_table, cut=0.5):

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from nodeglass import settings as S
 from nodeglass.functions import code_flag, resolved_load
-from nodeglass.operators.latency import latency_histogram
+from nodeglass.operators.latency import node_latency
 from nodeglass.operators.order_stats import exact_median, grouped_median
 
 LOG_FEATURES = ["response_time_ms", "http_response_code", "effective_load", "is_throttled", "is_partial"]
@@ -66,33 +66,25 @@ def standardise(features, stats, columns=LOG_FEATURES):
 def node_features(logs, nodes):
     """Per-node aggregates joined to the registry label.
 
-    Latency, counts and ratios come from the per-value histogram. The mean load
-    counts each missing load as the node's median, which is needed only for
-    nodes that miss some loads and have others.
+    The mean load counts each missing load as the node's median. All parts are
+    one row per node and partitioned by node, so joining them moves no logs.
     """
-    ms, n = F.col("response_time_ms"), F.col("n")
-    share = lambda code: F.sum((F.col("http_response_code") == code).cast("long"))
-    histogram = logs.groupBy("node_id", "response_time_ms").agg(
-        F.count(F.lit(1)).alias("n"),
-        share(S.THROTTLED_CODE).alias("throttled"),
-        share(S.PARTIAL_CODE).alias("partial"),
+    share = lambda code: F.avg((F.col("http_response_code") == code).cast("double"))
+    sums = logs.groupBy("node_id").agg(
+        share(S.THROTTLED_CODE).alias("throttled_ratio"),
+        share(S.PARTIAL_CODE).alias("partial_ratio"),
         F.sum("effective_load").alias("load_sum"),
-        F.count("effective_load").alias("load_n"),
-    )
-    stats = histogram.groupBy("node_id").agg(
-        (F.sum(ms * n) / F.sum(F.when(ms.isNotNull(), n))).alias("avg_response_time_ms"),
-        F.max(ms).alias("max_response_time_ms"),
-        F.percentile(ms, 0.95, n).alias("p95_response_time_ms"),
-        (F.sum("throttled") / F.sum(n)).alias("throttled_ratio"),
-        (F.sum("partial") / F.sum(n)).alias("partial_ratio"),
-        F.sum("load_sum").alias("load_sum"),
-        F.sum("load_n").alias("load_n"),
-        F.sum(n).alias("log_count"),
+        F.count_if(F.col("effective_load").isNull()).alias("missing"),
     )
     medians = grouped_median(logs, "node_id", "effective_load")
-    missing = F.col("log_count") - F.col("load_n")
-    avg_load = (F.col("load_sum") + missing * F.col("median")) / F.col("log_count")
+    avg_load = (F.col("load_sum") + F.col("missing") * F.col("median")) / F.col("log_count")
     labels = nodes.select(F.col("node_uuid").alias("node_id"), "is_infected")
-    return stats.join(medians, "node_id", "left").join(labels, "node_id").select(
-        "node_id", *NODE_FEATURES[:-1], avg_load.alias("avg_load"), "log_count", "is_infected"
+    return (
+        node_latency(logs).join(sums, "node_id").join(medians, "node_id", "left").join(labels, "node_id").select(
+            "node_id",
+            F.col("avg_rt").alias("avg_response_time_ms"),
+            F.col("max_rt").alias("max_response_time_ms"),
+            F.col("p95_rt").alias("p95_response_time_ms"),
+            "throttled_ratio", "partial_ratio", avg_load.alias("avg_load"), "log_count", "is_infected",
+        )
     )

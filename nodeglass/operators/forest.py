@@ -157,15 +157,30 @@ def _packed(trees, subsample):
 
 
 def _path_lengths(points, feature, threshold, path, depth):
-    """Mean path length of each row over all trees."""
-    rows = len(points)
-    flat, start = points.ravel(), np.arange(rows) * points.shape[1]
-    total = np.zeros(rows)
-    for f, t, p in zip(feature, threshold, path):
-        slot = np.zeros(rows, dtype=np.int64)
+    """Mean path length of each row over all trees.
+
+    ``points`` has one line per feature. All rows step down a tree together, in
+    buffers made once per batch.
+    """
+    rows = points.shape[1]
+    flat, row = points.ravel(), np.arange(rows)
+    slot, at = np.empty(rows, dtype=np.intp), np.empty(rows, dtype=np.intp)
+    value, limit = np.empty(rows), np.empty(rows)
+    right, total = np.empty(rows, dtype=bool), np.zeros(rows)
+    for line, t, p in zip(feature * rows, threshold, path):
+        slot.fill(0)
         for _ in range(depth):
-            slot = 2 * slot + 1 + (flat[start + f[slot]] > t[slot])
-        total += p[slot - len(f)]
+            line.take(slot, out=at, mode="clip")
+            np.add(at, row, out=at)
+            flat.take(at, out=value, mode="clip")
+            t.take(slot, out=limit, mode="clip")
+            np.greater(value, limit, out=right)
+            np.add(slot, slot, out=slot)
+            np.add(slot, 1, out=slot)
+            np.add(slot, right, out=slot)
+        np.subtract(slot, len(t), out=slot)
+        p.take(slot, out=value, mode="clip")
+        np.add(total, value, out=total)
     return total / len(feature)
 
 
@@ -180,7 +195,7 @@ def score_features(features, model, columns=LOG_FEATURES):
     def score(batches):
         feature, threshold, path, depth = packed.value
         for batch in batches:
-            points = batch[columns].to_numpy(dtype=float)
+            points = np.stack([batch[c].to_numpy(dtype=float) for c in columns])
             length = _path_lengths(points, feature, threshold, path, depth)
             yield batch.assign(anomaly_score=-np.exp2(-length / scale) - offset)
 

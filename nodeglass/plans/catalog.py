@@ -15,7 +15,7 @@ from nodeglass.operators import (
 )
 from nodeglass.plans import jobs, reports
 from nodeglass.plans.oracles import with_views
-from nodeglass.session import scratch_path
+from nodeglass.session import materialise, scratch_path
 from nodeglass.sources import views
 from nodeglass.streaming import ingest, state
 
@@ -70,6 +70,15 @@ class Tables:
     def node_features(self):
         return features.node_features(self.loaded, self.nodes)
 
+    @cached_property
+    def stored_node_features(self):
+        """Written once, for models that read them more than once."""
+        return materialise(self.node_features)
+
+    @cached_property
+    def classifier(self):
+        return classify.fit_classifier(self.stored_node_features, rounds=QUICK_ROUNDS)
+
     @cached_property
     def clean_nodes(self):
         """A registry that lacks some of the nodes sending logs."""
@@ -987,20 +996,19 @@ def _(t):
 
 @query("ml6_train_classifier")
 def _(t):
-    model = classify.fit_classifier(t.node_features, rounds=QUICK_ROUNDS)
-    weights = [(name, float(w)) for name, w in zip(features.NODE_FEATURES, model.featureImportances.toArray())]
+    importances = t.classifier.featureImportances.toArray()
+    weights = [(name, float(w)) for name, w in zip(features.NODE_FEATURES, importances)]
     return t.spark.createDataFrame(weights, "feature string, importance double")
 
 
 @query("ml7_score_nodes")
 def _(t):
-    model = classify.fit_classifier(t.node_features, rounds=QUICK_ROUNDS)
-    return classify.score_nodes(model, t.node_features).select("node_id", "infected_prob", "predicted_infected")
+    return classify.score_nodes(t.classifier, t.stored_node_features).select("node_id", "infected_prob", "predicted_infected")
 
 
 @query("ml8_evaluate_classifier")
 def _(t):
-    scored = classify.score_nodes(classify.fit_classifier(t.node_features, rounds=QUICK_ROUNDS), t.node_features)
+    scored = classify.score_nodes(t.classifier, t.stored_node_features)
     return classify.class_report(scored).withColumn("auc", F.lit(classify.auc(scored)))
 
 
