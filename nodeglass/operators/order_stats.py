@@ -7,7 +7,7 @@ counts the rows below the bracket and lists the few values inside it.
 
 import math
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
 from nodeglass.operators.skew import checked_broadcast
 from nodeglass.session import materialise
@@ -58,12 +58,14 @@ def exact_median(df, value):
     return exact_quantile(df, value, 0.5)
 
 
-def grouped_median(df, key, value):
+def grouped_median(df, key, value, at_most=5_000_000):
     """``key``, ``median`` for every key that has a value.
 
     Each row is only compared with its key's bracket, and everything outside
     collapses into two counts before the shuffle. So a key with a third of all
-    rows sends its middle values, not its rows, to one task.
+    rows sends its middle values, not its rows, to one task. Keys so long that
+    even their middle holds more than ``at_most`` rows (billions of rows each,
+    so there are few) are narrowed down one at a time.
     """
     v = F.col(value)
     df = df.select(key, v).filter(v.isNotNull())
@@ -71,6 +73,17 @@ def grouped_median(df, key, value):
         F.count(v).alias("total"),
         F.percentile_approx(v, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("ends"),
     ).select(key, "total", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")))
+    is_long = F.col("total") > at_most / (2 * MARGIN)
+    medians = _bracketed_median(df, key, v, brackets.filter(~is_long))
+    long_keys = [r[0] for r in brackets.filter(is_long).select(key).collect()]
+    if long_keys:
+        found = [(k, exact_quantile(df.filter(F.col(key) == k), value, 0.5, at_most)) for k in long_keys]
+        names = T.StructType([df.schema[key], T.StructField("median", T.DoubleType())])
+        medians = medians.union(df.sparkSession.createDataFrame(found, names))
+    return medians
+
+
+def _bracketed_median(df, key, v, brackets):
     placed = df.join(checked_broadcast(brackets), key).select(
         key, "total",
         F.when(v < F.col("low"), -1).when(v > F.col("high"), 1).otherwise(0).alias("side"),

@@ -988,6 +988,17 @@ def _(t):
     return _rounded(t.scored, "anomaly_score")
 
 
+# Scores are a model's own, but the share they flag is set by the contamination.
+@query("ml4_flag_share", "SELECT count(*) AS log_count, true AS near_contamination, true AS scores_in_range FROM logs")
+def _(t):
+    score = F.col("anomaly_score") + F.lit(t.forest.offset)
+    return t.scored.agg(
+        F.count(F.lit(1)).alias("log_count"),
+        (F.abs(F.avg(F.col("is_anomaly").cast("int")) - S.CONTAMINATION) < 0.002).alias("near_contamination"),
+        F.every(score.between(-1, 0)).alias("scores_in_range"),
+    )
+
+
 @query("ml5_score_single")
 def _(t):
     newest = topk.latest_logs(t.loaded, 1)
