@@ -66,25 +66,22 @@ def standardise(features, stats, columns=LOG_FEATURES):
 def node_features(logs, nodes):
     """Per-node aggregates joined to the registry label.
 
-    The mean load counts each missing load as the node's median. All parts are
-    one row per node and partitioned by node, so joining them moves no logs.
+    The mean load counts each missing load as the node's median. Both parts are
+    one row per node, so joining them moves no logs.
     """
     share = lambda code: F.avg((F.col("http_response_code") == code).cast("double"))
-    sums = logs.groupBy("node_id").agg(
-        share(S.THROTTLED_CODE).alias("throttled_ratio"),
-        share(S.PARTIAL_CODE).alias("partial_ratio"),
-        F.sum("effective_load").alias("load_sum"),
-        F.count_if(F.col("effective_load").isNull()).alias("missing"),
-    )
-    medians = grouped_median(logs, "node_id", "effective_load")
+    loads = grouped_median(logs, "node_id", "effective_load", also={
+        "throttled_ratio": share(S.THROTTLED_CODE),
+        "partial_ratio": share(S.PARTIAL_CODE),
+        "load_sum": F.sum("effective_load"),
+        "missing": F.count_if(F.col("effective_load").isNull()),
+    })
     avg_load = (F.col("load_sum") + F.col("missing") * F.col("median")) / F.col("log_count")
     labels = nodes.select(F.col("node_uuid").alias("node_id"), "is_infected")
-    return (
-        node_latency(logs).join(sums, "node_id").join(medians, "node_id", "left").join(labels, "node_id").select(
-            "node_id",
-            F.col("avg_rt").alias("avg_response_time_ms"),
-            F.col("max_rt").alias("max_response_time_ms"),
-            F.col("p95_rt").alias("p95_response_time_ms"),
-            "throttled_ratio", "partial_ratio", avg_load.alias("avg_load"), "log_count", "is_infected",
-        )
+    return node_latency(logs).join(loads, "node_id").join(labels, "node_id").select(
+        "node_id",
+        F.col("avg_rt").alias("avg_response_time_ms"),
+        F.col("max_rt").alias("max_response_time_ms"),
+        F.col("p95_rt").alias("p95_response_time_ms"),
+        "throttled_ratio", "partial_ratio", avg_load.alias("avg_load"), "log_count", "is_infected",
     )

@@ -58,21 +58,28 @@ def exact_median(df, value):
     return exact_quantile(df, value, 0.5)
 
 
-def grouped_median(df, key, value, at_most=5_000_000):
+def grouped_median(df, key, value, at_most=5_000_000, also=None):
     """``key``, ``median`` for every key that has a value.
 
+    ``also`` maps names to further aggregates taken in the bracketing pass;
+    with it the result has every key, the median being null without values.
+
     Each row is only compared with its key's bracket, and everything outside
     collapses into two counts before the shuffle. So a key with a third of all
     rows sends its middle values, not its rows, to one task. Keys so long that
     even their middle holds more than ``at_most`` rows (billions of rows each,
     so there are few) are narrowed down one at a time.
     """
-    v = F.col(value)
-    df = df.select(key, v).filter(v.isNotNull())
-    brackets = materialise(df.groupBy(key).agg(
+    v, also = F.col(value), also or {}
+    per_key = materialise(df.groupBy(key).agg(
         F.count(v).alias("total"),
         F.percentile_approx(v, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("ends"),
-    ).select(key, "total", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")))
+        *[c.alias(name) for name, c in also.items()],
+    ))
+    df = df.select(key, v).filter(v.isNotNull())
+    brackets = per_key.filter(F.col("total") > 0).select(
+        key, "total", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")
+    )
     is_long = F.col("total") > at_most / (2 * MARGIN)
     medians = _bracketed_median(df, key, v, brackets.filter(~is_long))
     long_keys = [r[0] for r in brackets.filter(is_long).select(key).collect()]
@@ -80,7 +87,7 @@ def grouped_median(df, key, value, at_most=5_000_000):
         found = [(k, exact_quantile(df.filter(F.col(key) == k), value, 0.5, at_most)) for k in long_keys]
         names = T.StructType([df.schema[key], T.StructField("median", T.DoubleType())])
         medians = medians.union(df.sparkSession.createDataFrame(found, names))
-    return medians
+    return per_key.select(key, *also).join(medians, key, "left") if also else medians
 
 
 def _bracketed_median(df, key, v, brackets):

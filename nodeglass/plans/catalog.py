@@ -51,7 +51,7 @@ class Tables:
     @cached_property
     def forest(self):
         """One fitted forest per session and folder, shared by the model queries."""
-        key = (id(self.spark), self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _MODELS:
             fill = features.median_load(self.loaded)
             _MODELS[key] = forest.fit_forest(features.log_features(self.loaded, fill), fill)
