@@ -22,7 +22,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def mix(x):
@@ -60,22 +59,18 @@ def word_spans(data, offsets):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _power_tables(n):
-    """Powers of the base and of its inverse modulo 2**64, up to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + 1)
-        for k, step in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, step, U64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=U64)
-    return _powers
+def _powers(base, n):
+    """base**0 ... base**(n-1) modulo 2**64."""
+    x = np.full(n, base, U64)
+    x[:1] = 1
+    return np.cumprod(x, dtype=U64)
 
 
 def word_hashes(data, starts, ends):
     """A 64-bit hash of each word of lower-cased bytes, equal for equal words."""
-    powers, inverse = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers[:len(data)], out=sums[1:])
+    np.cumsum((data.astype(U64) + U64(1)) * _powers(_BASE, len(data)), out=sums[1:])
+    inverse = _powers(pow(_BASE, -1, 1 << 64), len(data))
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 
