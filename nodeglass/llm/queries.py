@@ -4,6 +4,7 @@ import importlib
 
 # Query: module and function; the SQL, where there is any, is NAME_SQL there.
 _PLACES = {
+    "op1_toxicity": "toxicity",
     "op3_token_counts": "tokens",
     "op7_jaccard_join": "trees",
     "op9_best_fit_packing": "packing",

@@ -18,6 +18,8 @@ BLOCK_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
+# Bytes other than ASCII letters, digits and those of other scripts.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -47,9 +49,12 @@ def blocks(column):
         at = end
 
 
-def word_spans(data, offsets):
-    """Starts and ends of all words, and for each text the place of its first."""
-    white = WHITE[data]
+def word_spans(data, offsets, gaps=WHITE):
+    """Starts and ends of all words, and for each text the place of its first.
+
+    ``gaps`` marks the bytes that stand between words.
+    """
+    white = gaps[data]
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = white[:-1], white[1:]
     filled = np.flatnonzero(np.diff(offsets))
