@@ -6,6 +6,7 @@ import importlib
 _PLACES = {
     "op1_toxicity": "toxicity",
     "op3_token_counts": "tokens",
+    "op6_quality_classifier": "quality",
     "op7_jaccard_join": "trees",
     "op9_best_fit_packing": "packing",
     "op10_url_filters": "urls",
