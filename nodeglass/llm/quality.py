@@ -103,8 +103,8 @@ def fit(labelled):
         odds, constant = train(rows["text"], rows["_label"].to_numpy())
         return pd.DataFrame({"odds": [odds.tobytes()], "constant": [constant]})
 
-    rows = labelled.select("key", F.coalesce("text", F.lit("")).alias("text"), "_label").groupBy(F.lit(0)).applyInPandas(
-        one, "odds binary, constant double").collect()
+    sample = labelled.select("key", F.coalesce("text", F.lit("")).alias("text"), "_label", F.lit(0).alias("all"))
+    rows = sample.groupBy("all").applyInPandas(one, "odds binary, constant double").collect()
     if not rows:
         return np.zeros(1 << BUCKET_BITS, np.float32), 0.0
     return np.frombuffer(rows[0]["odds"], np.float32), rows[0]["constant"]
