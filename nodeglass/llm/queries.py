@@ -8,6 +8,7 @@ _PLACES = {
     "op3_token_counts": "tokens",
     "op6_quality_classifier": "quality",
     "op7_jaccard_join": "trees",
+    "op8_embedding_near_dedup": "lattice",
     "op9_best_fit_packing": "packing",
     "op10_url_filters": "urls",
 }
