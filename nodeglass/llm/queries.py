@@ -6,6 +6,7 @@ import importlib
 _PLACES = {
     "op1_toxicity": "toxicity",
     "op3_token_counts": "tokens",
+    "op4_warc_fixity": "fixity",
     "op5_benchmark_decontamination": "decontaminate",
     "op6_quality_classifier": "quality",
     "op7_jaccard_join": "trees",
