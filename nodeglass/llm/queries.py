@@ -5,6 +5,7 @@ import importlib
 # Query: module and function; the SQL, where there is any, is NAME_SQL there.
 _PLACES = {
     "op1_toxicity": "toxicity",
+    "op2_personal_data": "pii",
     "op3_token_counts": "tokens",
     "op4_warc_fixity": "fixity",
     "op5_benchmark_decontamination": "decontaminate",
