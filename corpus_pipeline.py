@@ -1,12 +1,72 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the docs of the next one.
+as Parquet and read again as the docs of the next one. The first four return the
+columns of documents; the last one returns the packed sequences.
 """
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from nodeglass.llm import decontaminate, packing, pii, toxicity, trees
 from nodeglass.llm.tables import stage, table
+from nodeglass.operators.skew import checked_broadcast
+
+TOXIC_FROM = 0.5
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Without documents whose toxicity score is ``TOXIC_FROM`` or more.
+
+    The models learn from the labelled documents outside the held-out fold.
+    """
+    train = toxicity.training_documents(spark, sf_dir, docs)
+    scored = toxicity.score_toxicity(docs, train, column="_toxicity")
+    return scored.where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each group of near copies: the one with the smallest id.
+
+    Near copies share 80 % or more of their five-word shingles, directly or
+    through others. Rows that share an id are one document, of which one row
+    stays; rows with a null id stay.
+    """
+    found = stage(trees.jaccard_components(docs, shingle=5, percent=80), "near-copies")
+    lost = stage(found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "lost")
+    kept = docs.join(checked_broadcast(lost), "doc_id", "left_anti")
+    again = stage(found.where("id = component_id").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id"), "repeated")
+    if not again.isEmpty():
+        again = checked_broadcast(again)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(
+            kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Without documents that hold a passage like a benchmark item."""
+    return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark, docs, sf_dir):
+    """Personal data replaced by its kind; n_chars follows the new text."""
+    clean = pii.redact(docs)
+    size = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Each document's pieces and their places in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path(packing.VOCABULARY))
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
 # Learned models and packing cannot be said in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 

@@ -292,7 +292,7 @@ def redact(docs, key="doc_id", text="text"):
     the overlap goes with it. Null texts stay null.
     """
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, key, text))
-    place = docs.columns.index(text)
+    names, place = docs.columns, docs.columns.index(text)
 
     def clean(batches):
         for batch in batches:
@@ -307,7 +307,7 @@ def redact(docs, key="doc_id", text="text"):
                     values[i] = "".join(out) + values[i][upto:]
             columns = batch.columns
             columns[place] = pa.array(values, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(clean, docs.schema)
 

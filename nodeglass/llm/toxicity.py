@@ -242,14 +242,14 @@ def _with_features(docs, model, text):
     return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(add, T.StructType([*docs.select(*kept).schema, *fields]))
 
 
-def score_toxicity(docs, train, key="doc_id", text="text"):
-    """``docs`` with ``score``, 0 to 1, higher for likelier toxic texts.
+def score_toxicity(docs, train, key="doc_id", text="text", column="score"):
+    """``docs`` with ``column``, 0 to 1, higher for likelier toxic texts.
 
     ``train``: documents (key, text, _label); every fourth by hash of the key is
     kept for the scale, of those at most about ``SCALE_ROWS``, and the counts
     come from all others. Null and empty texts have no evidence and get the
     score of a ratio of 0. Without training documents of both classes on the
-    scale a ratio of 10 over a stretch of words scores one half. A column called score is
+    scale a ratio of 10 over a stretch of words scores one half. A column of that name is
     replaced; rows come out as often as they came in.
     """
     spark = docs.sparkSession
@@ -266,7 +266,7 @@ def score_toxicity(docs, train, key="doc_id", text="text"):
     logit = F.lit(float(weights[-1]))
     for name, weight in zip(_FEATURES, weights):
         logit += F.col(name) * float(weight)
-    return _with_features(docs.drop("score"), model, text).withColumn("score", 1 / (1 + F.exp(-logit))).drop(*_FEATURES)
+    return _with_features(docs.drop(column), model, text).withColumn(column, 1 / (1 + F.exp(-logit))).drop(*_FEATURES)
 
 
 def training_documents(spark, sf_dir, docs=None, label="toxic", folds=5, out=0):
