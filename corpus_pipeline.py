@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from nodeglass.llm import decontaminate, packing, pii, toxicity, trees
-from nodeglass.llm.tables import stage, table
+from nodeglass.llm.tables import free_name, stage, table
 from nodeglass.operators.skew import checked_broadcast
 
 TOXIC_FROM = 0.5
@@ -21,8 +21,9 @@ def drop_toxic(spark, docs, sf_dir):
     The models learn from the labelled documents outside the held-out fold.
     """
     train = toxicity.training_documents(spark, sf_dir, docs)
-    scored = toxicity.score_toxicity(docs, train, column="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+    score = free_name("toxicity", docs.columns)
+    scored = toxicity.score_toxicity(docs, train, column=score)
+    return scored.where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_near_copies(spark, docs, sf_dir):

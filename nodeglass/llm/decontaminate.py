@@ -153,16 +153,16 @@ def find_contamination(docs, items, key="doc_id", text="text", item="item_id"):
 
 def keep_uncontaminated(docs, items, text="text"):
     """``docs`` without the rows that hold a window like a benchmark item."""
-    names = docs.columns
+    names, place = docs.columns, docs.columns.index(text)
     for index in benchmarks(items):
         def clean(batches, index=index):
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                for row, *_ in index.value.hits(batch.column(batch.num_columns - 1)):
+                for row, *_ in index.value.hits(batch.column(place)):
                     keep[row] = False
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-1]], names=names)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names=names)
 
-        docs = docs.select(*docs.columns, F.col(text).alias("_text")).mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(clean, docs.schema)
     return docs
 
 

@@ -138,14 +138,15 @@ def score_quality(docs, labelled, key="doc_id", text="text"):
     model = docs.sparkSession.sparkContext.broadcast(
         fit(labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), "_label")))
     kept = [c for c in docs.columns if c != "score"]
+    place = kept.index(text)
 
     def score(batches):
         for batch in batches:
-            found = 1 / (1 + np.exp(-np.clip(log_odds(model.value, batch.column(batch.num_columns - 1)), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*kept, "score"])
+            found = 1 / (1 + np.exp(-np.clip(log_odds(model.value, batch.column(place)), -500, 500)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*kept, "score"])
 
     schema = T.StructType([*docs.select(*kept).schema, T.StructField("score", T.DoubleType())])
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(score, schema)
+    return docs.select(*kept).mapInArrow(score, schema)
 
 
 def op6_quality_classifier(spark, sf_dir):

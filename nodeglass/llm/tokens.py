@@ -112,19 +112,20 @@ def count_tokens(docs, vocabulary, text="text"):
     shuffle; a worker holds the automaton and a bounded store of word lengths.
     """
     kept = [c for c in docs.columns if c not in ("n_words", "n_tokens")]
+    place = kept.index(text)
 
     def count(batches):
         lengths = WordLengths(LongestMatch(read_vocabulary(vocabulary)))
         for batch in batches:
             words, tokens = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for i, value in enumerate(batch.column(batch.num_columns - 1)):
+            for i, value in enumerate(batch.column(place)):
                 split = (value.as_py() or "").split()
                 words[i], tokens[i] = len(split), sum(map(lengths.__getitem__, split))
-            columns = batch.columns[:-1] + [pa.array(words), pa.array(tokens)]
+            columns = batch.columns + [pa.array(words), pa.array(tokens)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_words", "n_tokens"])
 
     schema = T.StructType([*docs.select(*kept).schema, *T._parse_datatype_string(SCHEMA)])
-    return docs.select(*kept, docs[text].alias("_text")).mapInArrow(count, schema)
+    return docs.select(*kept).mapInArrow(count, schema)
 
 
 def op3_token_counts(spark, sf_dir):

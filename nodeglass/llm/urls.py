@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from nodeglass.llm.tables import stage, table
+from nodeglass.llm.tables import free_name, stage, table
 
 BITS_PER_KEY = 12
 HASHES = 4
@@ -169,16 +169,17 @@ def with_membership(df, key, universe, listed, column="listed"):
         groups[-1].append(row["shard"])
         held += row["bytes"]
     answer = F.lit(None).cast("boolean")
-    asked = df.withColumn("_hash", F.xxhash64(key)).withColumn(column, answer)
+    number = free_name("hash", [*df.columns, column])
+    asked = df.withColumn(number, F.xxhash64(key)).withColumn(column, answer)
     for n, group in enumerate(groups):
         if n:
             asked = stage(asked, "url-judged")
         cascades = {}
         for row in filters.where(F.col("shard").isin(group)).orderBy("shard", "level").toLocalIterator():
             cascades.setdefault(row["shard"], []).append(np.frombuffer(row["bits"], np.uint8))
-        judged = _judge(spark.sparkContext.broadcast(cascades), shards)("_hash")
+        judged = _judge(spark.sparkContext.broadcast(cascades), shards)(number)
         asked = asked.withColumn(column, F.coalesce(column, judged))
-    return asked.withColumn(column, F.coalesce(F.when(F.col(key).isNotNull(), F.col(column)), F.lit(False))).drop("_hash")
+    return asked.withColumn(column, F.coalesce(F.when(F.col(key).isNotNull(), F.col(column)), F.lit(False))).drop(number)
 
 
 def judge_urls(pages, listed_hosts, rules=RULES, url="url"):
@@ -192,12 +193,13 @@ def judge_urls(pages, listed_hosts, rules=RULES, url="url"):
     """
     host, path = split_url(F.col(url))
     split = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    marked = with_membership(split, "host", split.select(F.col("host").alias("key")), listed_hosts, "_listed")
+    listed, both = (free_name(name, split.columns) for name in ("listed", "rule_and_verdict"))
+    marked = with_membership(split, "host", split.select(F.col("host").alias("key")), listed_hosts, listed)
     found = rule_of(F.col("host"), F.col("path"), rules)
-    by_list = F.when(F.col("_listed"), "block").otherwise("allow")
-    return marked.withColumn("_rule", found).withColumns(
-        {"rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", by_list)}
-    ).drop("_rule", "_listed")
+    by_list = F.when(F.col(listed), "block").otherwise("allow")
+    return marked.withColumn(both, found).withColumns(
+        {"rule": F.col(f"{both}.rule"), "verdict": F.coalesce(f"{both}.verdict", by_list)}
+    ).drop(both, listed)
 
 
 def hosts_with_labels(pages, labels=LISTED_LABELS, url="url"):

@@ -1,0 +1,25 @@
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from check import canonical
+from nodeglass.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_one_query_of_each_number():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
+    assert numbers == list(range(1, 11))
+    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)
+
+
