@@ -38,6 +38,7 @@ _MARKED = re.compile(r"[0-9@+]").search
 SAMPLE_DOCUMENTS = 20_000  # of which those with digits or @ train the field
 BUCKETS = 4096
 ROUNDS = 8  # of message passing
+ALIKE = 6.0  # log weight for equal labels of words that repeat or resemble each other
 CERTAIN = 0.9  # probability from which a word gets a span
 _SURE = 20.0  # log potential of a pattern's finding
 LABELS = 1 + len(KINDS)
@@ -149,30 +150,37 @@ def learn(field, steps=200, rate=0.5, penalty=1e-4):
     """Weights (nodes, chain, skip) by gradient steps on the pseudo-likelihood.
 
     Each word's label is predicted from its features and its neighbours' labels.
+    What looks like a finding but was not found itself is neither: such words
+    and their edges are left out. Skip weights start from, and are drawn
+    towards, ``ALIKE`` for equal labels.
     """
     features, chain, skip, label = field.arrays()
-    node, pair = np.zeros((BUCKETS, LABELS)), [np.zeros((LABELS, LABELS)), np.eye(LABELS) * 0.5]
+    start = [np.zeros((BUCKETS, LABELS)), np.zeros((LABELS, LABELS)), np.eye(LABELS) * ALIKE]
     if not len(label):
-        return node, *pair
-    known = np.eye(LABELS)[label]
-    seen = [np.full_like(node, 1e-8), *(np.full((LABELS, LABELS), 1e-8) for _ in pair)]
+        return tuple(start)
+    open_ = np.zeros(len(label), bool)
+    for a, b in ((skip[:, 0], skip[:, 1]), (skip[:, 1], skip[:, 0])):
+        open_[b[(label[a] > 0) & (label[b] == 0)]] = True
+    chain, skip = (e[~open_[e].any(axis=1)] for e in (chain, skip))
+    known, weights = np.eye(LABELS)[label], [w.copy() for w in start]
+    seen = [np.full_like(w, 1e-8) for w in weights]
     for _ in range(steps):
-        z = node[features].sum(axis=1)
-        for weights, edges in zip(pair, (chain, skip)):
-            np.add.at(z, edges[:, 1], weights[label[edges[:, 0]]])
-            np.add.at(z, edges[:, 0], weights.T[label[edges[:, 1]]])
+        z = weights[0][features].sum(axis=1)
+        for table_, edges in zip(weights[1:], (chain, skip)):
+            np.add.at(z, edges[:, 1], table_[label[edges[:, 0]]])
+            np.add.at(z, edges[:, 0], table_.T[label[edges[:, 1]]])
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        error = p / p.sum(axis=1, keepdims=True) - known
-        slopes = [np.zeros_like(node)]
+        error = (p / p.sum(axis=1, keepdims=True) - known) * ~open_[:, None]
+        slopes = [np.zeros_like(weights[0])]
         np.add.at(slopes[0], features.ravel(), np.repeat(error, features.shape[1], axis=0))
         for edges in (chain, skip):
             slopes.append(known[edges[:, 0]].T @ error[edges[:, 1]] + error[edges[:, 0]].T @ known[edges[:, 1]])
         slopes[2] = (slopes[2] + slopes[2].T) / 2  # a skip edge has no direction
-        for weights, slope, total in zip((node, *pair), slopes, seen):
-            slope = slope / len(label) + penalty * weights
+        for table_, first, slope, total in zip(weights, start, slopes, seen):
+            slope = slope / len(label) + penalty * (table_ - first)
             total += slope ** 2
-            weights -= rate * slope / np.sqrt(total)
-    return node, *pair
+            table_ -= rate * slope / np.sqrt(total)
+    return tuple(weights)
 
 
 def pass_messages(weights, field, rounds=ROUNDS):
@@ -273,16 +281,17 @@ def find_personal_data(docs, key="doc_id", text="text"):
     """
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, key, text))
     kept = [c for c in docs.columns if c != "spans"]
+    place = kept.index(text)
 
     def find(batches):
         for batch in batches:
             found = [[{"kind": KINDS[k], "start": a, "end": b, "base": base} for a, k, b, base in spans]
-                     for spans in spans_of(_texts(batch.column(batch.num_columns - 1)), weights.value)]
+                     for spans in spans_of(_texts(batch.column(place)), weights.value)]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*kept, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*kept, "spans"])
 
     schema = T.StructType([*docs.select(*kept).schema, *T._parse_datatype_string(f"spans {SPANS}")])
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(find, schema)
+    return docs.select(*kept).mapInArrow(find, schema)
 
 
 def redact(docs, key="doc_id", text="text"):
