@@ -35,7 +35,9 @@ _ANY = re.compile(r"[0-9@]").search
 _WORD = re.compile(r"\S++")
 _MARKED = re.compile(r"[0-9@+]").search
 
-SAMPLE_DOCUMENTS = 20_000  # of which those with digits or @ train the field
+SAMPLE_DOCUMENTS = 20_000  # of which those with digits or @ train the field,
+SAMPLE_WORDS = 50_000  # one after the other until they have so many words of the field
+RUN_WORDS = 20_000
 BUCKETS = 4096
 ROUNDS = 8  # of message passing
 ALIKE = 6.0  # log weight for equal labels of words that repeat or resemble each other
@@ -146,7 +148,12 @@ class Field:
         return np.array(self.features, np.int64).reshape(-1, 5), edges(self.chain), edges(self.skip), np.array(self.label, np.int64)
 
 
-def learn(field, steps=200, rate=0.5, penalty=1e-4):
+def _sum_at(place, rows, n):
+    """Sums of the rows that go to each of ``n`` places."""
+    return np.column_stack([np.bincount(place, column, n) for column in rows.T])
+
+
+def learn(field, steps=100, rate=0.5, penalty=1e-4):
     """Weights (nodes, chain, skip) by gradient steps on the pseudo-likelihood.
 
     Each word's label is predicted from its features and its neighbours' labels.
@@ -163,16 +170,18 @@ def learn(field, steps=200, rate=0.5, penalty=1e-4):
         open_[b[(label[a] > 0) & (label[b] == 0)]] = True
     chain, skip = (e[~open_[e].any(axis=1)] for e in (chain, skip))
     known, weights = np.eye(LABELS)[label], [w.copy() for w in start]
+    by_feature = np.argsort(features, axis=None, kind="stable")
+    present, first_of = np.unique(features.ravel()[by_feature], return_index=True)
     seen = [np.full_like(w, 1e-8) for w in weights]
     for _ in range(steps):
         z = weights[0][features].sum(axis=1)
         for table_, edges in zip(weights[1:], (chain, skip)):
-            np.add.at(z, edges[:, 1], table_[label[edges[:, 0]]])
-            np.add.at(z, edges[:, 0], table_.T[label[edges[:, 1]]])
+            z += _sum_at(edges[:, 1], table_[label[edges[:, 0]]], len(z))
+            z += _sum_at(edges[:, 0], table_.T[label[edges[:, 1]]], len(z))
         p = np.exp(z - z.max(axis=1, keepdims=True))
         error = (p / p.sum(axis=1, keepdims=True) - known) * ~open_[:, None]
         slopes = [np.zeros_like(weights[0])]
-        np.add.at(slopes[0], features.ravel(), np.repeat(error, features.shape[1], axis=0))
+        slopes[0][present] = np.add.reduceat(error[by_feature // features.shape[1]], first_of)
         for edges in (chain, skip):
             slopes.append(known[edges[:, 0]].T @ error[edges[:, 1]] + error[edges[:, 0]].T @ known[edges[:, 1]])
         slopes[2] = (slopes[2] + slopes[2].T) / 2  # a skip edge has no direction
@@ -204,8 +213,7 @@ def pass_messages(weights, field, rounds=ROUNDS):
         out = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
         out -= out.max(axis=1, keepdims=True)
         messages = 0.5 * messages + 0.5 * out
-        belief = own.copy()
-        np.add.at(belief, target, messages)
+        belief = own + _sum_at(target, messages, len(own))
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -232,17 +240,27 @@ def _added(field, probability, texts, base):
 
 
 def spans_of(texts, weights):
-    """For each text its spans (start, kind number, end, from a pattern), in order."""
+    """For each text its spans (start, kind number, end, from a pattern), in order.
+
+    Documents are labelled in runs of about ``RUN_WORDS`` words of the field.
+    """
     field, base, out = Field(), {}, [[] for _ in texts]
+
+    def finish():
+        for k, kind, start, end in _added(field, pass_messages(weights, field), texts, base):
+            if not any(a < end and b > start for a, _, b in base[k]):
+                out[k].append((start, kind, end, False))
+
     for k, text in enumerate(texts):
         if _ANY(text):
             base[k] = base_spans(text)
             out[k] = [(*span, True) for span in base[k]]
             field.add(k, text, base[k])
+            if len(field.start) >= RUN_WORDS:
+                finish()
+                field = Field()
     if field.start:
-        for k, kind, start, end in _added(field, pass_messages(weights, field), texts, base):
-            if not any(a < end and b > start for a, _, b in base[k]):
-                out[k].append((start, kind, end, False))
+        finish()
     return [sorted(spans) for spans in out]
 
 
@@ -255,9 +273,13 @@ def fit(docs, key="doc_id", text="text"):
     sample = sample.where(F.col("text").rlike("[0-9@]"))
 
     def one(rows):
+        order = pd.util.hash_pandas_object(rows["text"], index=False)
+        rows = rows.assign(order=order).sort_values(["order", "key"])
         field = Field()
-        for k, value in enumerate(rows.sort_values(["key", "text"])["text"]):
+        for k, value in enumerate(rows["text"]):
             field.add(k, value, base_spans(value))
+            if len(field.start) >= SAMPLE_WORDS:
+                break
         return pd.DataFrame({"weights": [w.astype("<f8").tobytes() for w in learn(field)], "part": range(3)})
 
     rows = sample.groupBy("all").applyInPandas(one, "weights binary, part int").orderBy("part").collect()
