@@ -13,23 +13,29 @@ the likelihoods they give a text, on two scales of expression.
 
 Both ratios, normalised by length over the whole text, over its most toxic
 stretch and over its strong places, go into a logistic scale learned on training
-documents that the counts leave out. Sequences and words are counted under a number below ``BUCKETS`` and
-``WORD_BUCKETS``: the models have the same bounded size whatever the corpus is,
-which makes them safe to broadcast.
+documents that the counts leave out. Sequences are counted under a number below ``BUCKETS``, words under
+two numbers, of whose counts the lesser holds: the models have the same bounded
+size whatever the corpus is, which makes them safe to broadcast.
 """
 
+from functools import reduce
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from nodeglass.llm import words
 from nodeglass.llm.labelled import fit_logistic, fold, with_labels
-from nodeglass.llm.tables import stage, table
+from nodeglass.llm.tables import free_name, stage, table
 
 ORDER = 5  # bytes of the longest sequences
 SHARED = 2  # sequences up to this length are counted over both classes together
-BUCKETS = 1_048_573  # a prime
-WORD_BUCKETS = 2_097_143  # a prime
+# Sizes of the tables, primes but for the exact one of two bytes. A word counts
+# in both of its tables.
+BUCKETS = {2: 1 << 16, 3: 65_521, 4: 262_139, 5: 524_287}
+WORD_BUCKETS = (524_287, 524_269)
+CHUNK = 1 << 14  # buckets that a task packs together
 WINDOW = 64  # bytes of a stretch
 WINDOW_WORDS = 8
 STRONG = 2.0  # log ratio beyond which a byte or word counts as strong evidence
@@ -119,73 +125,96 @@ def count_expressions(labelled):
     return counted.groupBy("kind", "number").agg(*(F.sum(c).alias(c) for c in _CLASSES))
 
 
-def _dense(rows, key, columns, size):
-    """Sums by bucket as a dense array; at most ``size`` rows reach the driver."""
-    sums = rows.groupBy(F.pmod(F.col(key), F.lit(size)).cast("int").alias("bucket")).agg(
-        *(F.sum(c).cast("float").alias(c) for c in columns)).toPandas()
-    out = np.zeros((size, len(columns)), np.float32)
-    out[sums["bucket"].to_numpy()] = sums[list(columns)].to_numpy(np.float32)
-    return out
-
+def _table(rows, name, key, size, columns):
+    """Rows (table, bucket, v0 ... v3) of one table of ``size`` buckets."""
+    values = [(F.col(columns[i]) if i < len(columns) else F.lit(0)).cast("double").alias(f"v{i}") for i in range(4)]
+    return rows.select(F.lit(name).alias("table"), F.pmod(F.col(key), F.lit(size)).cast("int").alias("bucket"), *values)
 
-def _discount(rows, column):
-    """The Kneser-Ney discount: n1 / (n1 + 2 n2)."""
-    once, twice = rows.agg(*(F.sum((F.col(column) == n).cast("long")) for n in (1, 2))).first()
-    return (once or 0) / ((once or 0) + 2 * (twice or 0)) if once else 0.5
 
+def _collect(tables, sizes):
+    """Sums by table and bucket as dense float arrays.
 
-def fit(labelled):
-    """Tables of the models from documents (text, _label): bytes, then words."""
-    counted = stage(count_expressions(labelled), "expressions")
-    return *_fit_bytes(counted.where("kind = 0").withColumnRenamed("number", "sequence")), \
-        _fit_words(counted.where("kind = 1"))
+    Tasks pack the buckets, so the driver gets a few hundred rows whose bytes
+    are bounded by ``sizes``, (buckets, columns) by table.
+    """
+    values = [f"v{i}" for i in range(4)]
 
+    def pack(rows):
+        out = np.zeros((CHUNK, 4), np.float32)
+        out[rows["bucket"].to_numpy() % CHUNK] = rows[values].to_numpy(np.float32)
+        table = rows["table"].iloc[0]
+        return pd.DataFrame({"table": [table], "chunk": [rows["chunk"].iloc[0]], "data": [out[:, :sizes[table][1]].tobytes()]})
 
-def _fit_words(rows):
-    """Log ratio of the probabilities of the words of each bucket."""
-    counts = _dense(rows, "number", _CLASSES, WORD_BUCKETS)
-    total = counts.sum(axis=1, keepdims=True)
-    share = (counts.sum(axis=0) + 1) / (counts.sum() + 2)
-    cut = np.array([_discount(rows, c) for c in _CLASSES])
-    smoothed = np.maximum(counts - cut, 0) + (cut * (counts > 0)).sum(axis=1, keepdims=True) * share
-    ratio = np.log(np.maximum(smoothed, 1e-9) / share)
-    return np.where(total[:, 0] > 0, ratio[:, 0] - ratio[:, 1], 0).astype(np.float32)
+    sums = reduce(lambda x, y: x.unionByName(y), tables).groupBy("table", "bucket").agg(*(F.sum(v).alias(v) for v in values))
+    chunks = sums.withColumn("chunk", F.expr(f"bucket div {CHUNK}").cast("int")).groupBy("table", "chunk").applyInPandas(
+        pack, "table string, chunk int, data binary")
+    dense = {name: np.zeros((-(-size // CHUNK) * CHUNK, columns), np.float32) for name, (size, columns) in sizes.items()}
+    for row in chunks.collect():
+        at = row["chunk"] * CHUNK
+        dense[row["table"]][at:at + CHUNK] = np.frombuffer(row["data"], np.float32).reshape(CHUNK, -1)
+    return {name: dense[name][:size] for name, (size, _) in sizes.items()}
 
 
-def _fit_bytes(rows):
-    """Dense probabilities of short sequences, and tables of the longer ones."""
-    orders = {ORDER: rows}
+def fit(labelled):
+    """Models of bytes and of words from documents (text, _label)."""
+    counted = stage(count_expressions(labelled), "expressions")
+    orders = {ORDER: counted.where("kind = 0").withColumnRenamed("number", "sequence")}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("sequence").bitwiseAND((1 << 8 * k) - 1).alias("sequence")
-        if k == SHARED:
-            rows = rows.select(suffix, F.lit(1).alias("both"))
-        elif k > SHARED:
-            rows = rows.select(suffix, *((F.col(c) > 0).cast("long").alias(c) for c in _CLASSES))
-        else:
-            rows = rows.select(suffix, F.lit(1).alias("both"))
-        columns = ["both"] if k <= SHARED else _CLASSES
-        orders[k] = rows = rows.groupBy("sequence").agg(*(F.sum(c).alias(c) for c in columns))
-    # Sequences of up to SHARED bytes: dense probabilities, the same for both classes.
-    single = _dense(orders[1], "sequence", ["both"], 256)[:, 0]
-    lower = (single + 1) / (single.sum() + 256)
-    pairs = _dense(orders[2], "sequence", ["both"], 1 << 16)[:, 0].reshape(256, 256)
-    cut, total = _discount(orders[2], "both"), pairs.sum(axis=1, keepdims=True)
-    seen = np.maximum(total, 1)
-    shared = np.maximum(pairs - cut, 0) / seen + np.where(total > 0, cut * (pairs > 0).sum(1, keepdims=True) / seen, 1) * lower
-    tables = {}
+        seen = [(F.col(c) > 0).cast("long").alias(c) for c in _CLASSES] if k > SHARED else [F.lit(1).alias("both")]
+        columns = _CLASSES if k > SHARED else ["both"]
+        orders[k] = stage(orders[k + 1].select(suffix, *seen).groupBy("sequence").agg(
+            *(F.sum(c).alias(c) for c in columns)), "sequences")
+    word_counts = counted.where("kind = 1")
+    cuts = _discounts({k: rows for k, rows in orders.items() if k > 1} | {"words": word_counts})
+    tables, sizes = [], {}
+
+    def add(rows, name, key, size, columns):
+        tables.append(_table(rows, name, key, size, columns))
+        sizes[name] = size, len(columns)
+
+    add(orders[1], "1", "sequence", 256, ["both"])
+    add(orders[2], "2", "sequence", BUCKETS[2], ["both"])
     for k in range(SHARED + 1, ORDER + 1):
-        rows = orders[k]
-        cuts = [_discount(rows, c) for c in _CLASSES]
-        rows = rows.select("sequence", F.shiftright("sequence", 8).alias("context"), *_CLASSES, *(
-            F.greatest(F.col(c) - F.lit(d), F.lit(0.0)).alias(f"{c}_cut") for c, d in zip(_CLASSES, cuts)), *(
+        rows = orders[k].select("sequence", F.shiftright("sequence", 8).alias("context"), *_CLASSES, *(
+            F.greatest(F.col(c) - F.lit(cuts[k, c]), F.lit(0.0)).alias(f"{c}_cut") for c in _CLASSES), *(
             (F.col(c) > 0).cast("long").alias(f"{c}_kinds") for c in _CLASSES))
-        counts = _dense(rows, "sequence", [f"{c}_cut" for c in _CLASSES], BUCKETS)
-        contexts = _dense(rows, "context", [*_CLASSES, *(f"{c}_kinds" for c in _CLASSES)], BUCKETS)
-        total, kinds = contexts[:, :2], contexts[:, 2:]
+        add(rows, f"{k}", "sequence", BUCKETS[k], [f"{c}_cut" for c in _CLASSES])
+        add(rows, f"{k} contexts", "context", BUCKETS[k - 1], [*_CLASSES, *(f"{c}_kinds" for c in _CLASSES)])
+    for i, size in enumerate(WORD_BUCKETS):
+        add(word_counts, f"words {i}", "number", size, _CLASSES)
+    dense = _collect(tables, sizes)
+    # Sequences of up to SHARED bytes: probabilities, the same for both classes.
+    single, pairs, cut = dense["1"][:, 0], dense["2"].reshape(256, 256), cuts[2, "both"]
+    lower = (single + 1) / (single.sum() + 256)
+    total = pairs.sum(axis=1, keepdims=True)
+    some = np.maximum(total, 1)
+    rest = np.where(total > 0, cut * (pairs > 0).sum(axis=1, keepdims=True) / some, 1)
+    shared = (np.maximum(pairs - cut, 0) / some + rest * lower).astype(np.float32).ravel()
+    longer = {}
+    for k in range(SHARED + 1, ORDER + 1):
+        total, kinds = dense[f"{k} contexts"][:, :2], dense[f"{k} contexts"][:, 2:]
         some = np.maximum(total, 1)
-        rest = np.where(total > 0, np.array(cuts, np.float32) * kinds / some, 1)
-        tables[k] = (counts, np.column_stack((np.where(total > 0, 1 / some, 0), rest)).astype(np.float32))
-    return shared.astype(np.float32).ravel(), tables
+        rest = np.where(total > 0, np.array([cuts[k, c] for c in _CLASSES], np.float32) * kinds / some, 1)
+        longer[k] = dense[f"{k}"], np.column_stack((np.where(total > 0, 1 / some, 0), rest)).astype(np.float32)
+    words_of = [dense[f"words {i}"] for i in range(len(WORD_BUCKETS))]
+    share = (words_of[0].sum(axis=0, dtype=np.float64) + 1) / (words_of[0].sum(dtype=np.float64) + 2)
+    return shared, longer, (words_of, np.array([cuts["words", c] for c in _CLASSES]), share)
+
+
+def _discounts(tables):
+    """The Kneser-Ney discount n1 / (n1 + 2 n2) of each table and class."""
+    columns = {k: [c for c in (*_CLASSES, "both") if c in rows.columns] for k, rows in tables.items()}
+    counts = reduce(lambda x, y: x.unionByName(y), (
+        rows.agg(F.sum((F.col(c) == 1).cast("long")).alias("once"), F.sum((F.col(c) == 2).cast("long")).alias("twice"))
+        .withColumns({"k": F.lit(str(k)), "c": F.lit(c)}) for k, rows in tables.items() for c in columns[k]))
+    found = {(r["k"], r["c"]): (r["once"] or 0, r["twice"] or 0) for r in counts.collect()}
+    out = {}
+    for k in tables:
+        for c in columns[k]:
+            once, twice = found[str(k), c]
+            out[k, c] = once / (once + 2 * twice) if once else 0.5
+    return out
 
 
 def byte_ratios(model, data, offsets):
@@ -197,8 +226,8 @@ def byte_ratios(model, data, offsets):
     p = np.repeat(shared[(full[places] & np.uint64(0xFFFF)).astype(np.int64)][:, None], 2, axis=1)
     for k in sorted(tables):
         counts, contexts = tables[k]
-        own = (full[places] & np.uint64((1 << 8 * k) - 1)) % np.uint64(BUCKETS)
-        before = (full[places - 1] & np.uint64((1 << 8 * (k - 1)) - 1)) % np.uint64(BUCKETS)
+        own = (full[places] & np.uint64((1 << 8 * k) - 1)) % np.uint64(BUCKETS[k])
+        before = (full[places - 1] & np.uint64((1 << 8 * (k - 1)) - 1)) % np.uint64(BUCKETS[k - 1])
         around = contexts[before.astype(np.int64)]
         p = counts[own.astype(np.int64)] * around[:, :2] + around[:, 2:] * p
     return np.log(p[:, 0]) - np.log(p[:, 1]), offsets
@@ -207,7 +236,11 @@ def byte_ratios(model, data, offsets):
 def word_ratios(model, data, offsets):
     """The same for each word."""
     numbers, first = _word_numbers(data, offsets)
-    return model[2][(numbers % np.uint64(WORD_BUCKETS)).astype(np.int64)], first
+    tables, cut, share = model[2]
+    counts = np.minimum(*(x[(numbers % np.uint64(len(x))).astype(np.int64)] for x in tables)).astype(np.float64)
+    smoothed = np.maximum(counts - cut, 0) + (cut * (counts > 0)).sum(axis=1, keepdims=True) * share
+    ratio = np.log(np.maximum(smoothed, 1e-9) / share)
+    return np.where(counts.any(axis=1), ratio[:, 0] - ratio[:, 1], 0), first
 
 
 def features(model, column):
@@ -230,16 +263,15 @@ def features(model, column):
     return out
 
 
-def _with_features(docs, model, text):
-    kept = [c for c in docs.columns if c not in _FEATURES]
+def _with_features(docs, model, text, names=_FEATURES):
+    columns, place = docs.columns, docs.columns.index(text)
 
     def add(batches):
         for batch in batches:
-            found = features(model.value, batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found.T.copy())], names=[*kept, *_FEATURES])
+            found = features(model.value, batch.column(place))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found.T.copy())], names=[*columns, *names])
 
-    fields = [T.StructField(c, T.DoubleType()) for c in _FEATURES]
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(add, T.StructType([*docs.select(*kept).schema, *fields]))
+    return docs.mapInArrow(add, T.StructType([*docs.schema, *(T.StructField(c, T.DoubleType()) for c in names)]))
 
 
 def score_toxicity(docs, train, key="doc_id", text="text", column="score"):
@@ -263,10 +295,12 @@ def score_toxicity(docs, train, key="doc_id", text="text", column="score"):
     rows = _with_features(scale.select("_label", "text"), model, "text").drop("text").toPandas()
     x, y = rows[_FEATURES].to_numpy(), rows["_label"].to_numpy()
     weights = fit_logistic(x, y) if 0 < y.sum() < len(y) else np.array([0.0, 0.0, 0.0, 0.0, 1.0, 0.0, -10.0])
+    docs = docs.drop(column)
+    names = [free_name(name, docs.columns) for name in _FEATURES]
     logit = F.lit(float(weights[-1]))
-    for name, weight in zip(_FEATURES, weights):
+    for name, weight in zip(names, weights):
         logit += F.col(name) * float(weight)
-    return _with_features(docs.drop(column), model, text).withColumn(column, 1 / (1 + F.exp(-logit))).drop(*_FEATURES)
+    return _with_features(docs, model, text, names).withColumn(column, 1 / (1 + F.exp(-logit))).drop(*names)
 
 
 def training_documents(spark, sf_dir, docs=None, label="toxic", folds=5, out=0):
