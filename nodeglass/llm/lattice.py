@@ -184,3 +184,25 @@ def near_duplicates(vectors, key="vec_id", vector="embedding", threshold=0.9):
 def op8_embedding_near_dedup(spark, sf_dir):
     """Links, component and keeping of every vector, at a cosine of 0.9."""
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# All pairs; the lattice tables find the same links where these are as close as copies are.
+OP8_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS (
+  SELECT vec_id, v FROM vectors
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.9
+), reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), found AS (
+  SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+)
+SELECT f.vec_id, coalesce(c.n, 0) AS n_links, f.component_id, f.vec_id = f.component_id AS kept
+FROM found f LEFT JOIN counts c ON c.a = f.vec_id
+"""
