@@ -20,11 +20,6 @@ def stage(df, label):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df, *keys):
-    """Deal rows over the session's shuffle partitions by a hash of ``keys``."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def free_name(name, columns):
     """``name``, made longer until no column has it."""
     while name in columns:
