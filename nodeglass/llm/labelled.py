@@ -1,8 +1,10 @@
 """Labelled documents and the folds that keep some of them out of training."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from nodeglass.operators.skew import checked_broadcast
+from nodeglass.llm.tables import stage
+from nodeglass.operators import skew
 
 
 def fold(key, folds):
@@ -11,14 +13,17 @@ def fold(key, folds):
 
 
 def with_labels(docs, labels, label, key="doc_id"):
-    """(key, text, label, fold columns of ``docs``) of documents labelled 0 or 1.
+    """``docs`` labelled 0 or 1, with the label as ``_label``.
 
     A key with several labels has the largest. The label table is broadcast
-    after it was counted, and joined by shuffle beyond the checked number.
+    after it was counted. Beyond the checked number the join is a shuffle and its
+    result a table, so that the texts move once however often they are read.
     """
     one = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(
         F.max(label).cast("int").alias("_label"))
-    return docs.join(checked_broadcast(one), key)
+    if one.count() <= skew.BROADCAST_ROWS:
+        return docs.join(F.broadcast(one), key)
+    return stage(docs.join(one, key), "labelled")
 
 
 def fit_logistic(features, labels, penalty=1e-3, steps=50):
@@ -26,8 +31,6 @@ def fit_logistic(features, labels, penalty=1e-3, steps=50):
 
     ``features`` is a numpy matrix; both labels must occur.
     """
-    import numpy as np
-
     middle, width = features.mean(axis=0), features.std(axis=0) + 1e-9
     x = np.column_stack(((features - middle) / width, np.ones(len(features))))
     w, ridge = np.zeros(x.shape[1]), penalty * len(x) * np.diag([1.0] * features.shape[1] + [1e-3])

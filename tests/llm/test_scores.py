@@ -51,7 +51,7 @@ def test_quality_held_out(spark):
     assert out.count() == 1000 and (rows["label"] == rows["predicted"]).mean() > 0.95
 
 
-def test_labels_of_the_held_out_fold_do_not_matter(spark, monkeypatch):
+def test_labels_of_the_held_out_fold_do_not_matter(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
     known = spark.read.parquet(f"{SF}/labels.parquet")
     changed = known.withColumn("toxic", F.when(labelled.fold("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -60,6 +60,15 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark, monkeypatch):
     assert one == two
 
 
+def test_labels_by_shuffle_equal_labels_by_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    known = spark.createDataFrame([(1, 0, None), (1, 1, 1), (2, 1, 0), (3, None, 1), (None, 1, 1), (4, 7, 7)], "doc_id long, quality int, toxic int")
+    found = [sorted((r["doc_id"], r["_label"]) for r in labelled.with_labels(docs, known, "quality").collect())]
+    monkeypatch.setattr(labelled.skew, "BROADCAST_ROWS", 0)
+    found.append(sorted((r["doc_id"], r["_label"]) for r in labelled.with_labels(docs, known, "quality").collect()))
+    assert found == [[(1, 1), (2, 1)]] * 2
+
+
 def test_toxicity_edge_rows(spark, edge_docs, no_docs, known):
     out = toxicity.score_toxicity(edge_docs, known)
     assert sorted(out.columns) == sorted(edge_docs.columns)
