@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from nodeglass.llm import words
-from nodeglass.llm.tables import table
+from nodeglass.llm.tables import map_batches, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -146,7 +146,7 @@ def find_contamination(docs, items, key="doc_id", text="text", item="item_id"):
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(first, pa.int64()),
                      pa.array(size, pa.int64()), pa.array(similarity, pa.float64())], names=schema.names)
 
-        own = rows.mapInArrow(search, schema)
+        own = map_batches(rows, search, schema)
         found = own if found is None else found.unionByName(own)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -162,7 +162,7 @@ def keep_uncontaminated(docs, items, text="text"):
                     keep[row] = False
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names=names)
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_batches(docs, clean, docs.schema)
     return docs
 
 

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
 from nodeglass.llm.graph import components
-from nodeglass.llm.tables import stage, table
+from nodeglass.llm.tables import map_batches, stage, table
 from nodeglass.llm.words import mix
 
 TABLES = 24
 CELL = 1.75  # width of a lattice step, in units of a projected coordinate
-CHUNK = 2000  # vectors on either side of one block of cosines
+CHUNK = 2000  # vectors on either side of one block of cosines, about
 SEED = 8
 
 
@@ -88,7 +88,7 @@ def _cell_table(classes, blocks):
                 ids = np.repeat(batch.column(0).filter(rows).to_numpy(), found.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(ids)], names=["cell", "id"])
 
-    return classes.select("id", "vector", F.size("vector").alias("size")).mapInArrow(enter, "cell long, id long")
+    return map_batches(classes.select("id", "vector", F.size("vector").alias("size")), enter, "cell long, id long")
 
 
 def _block_links(ids, vectors, many, side, threshold):
@@ -124,11 +124,11 @@ def _block_links(ids, vectors, many, side, threshold):
 
 def _group_links(classes, groups, threshold):
     """Links and link counts within groups (id, component), as (a, b, n) rows."""
-    place = F.row_number().over(Window.partitionBy("component").orderBy("id")) - 1
-    placed = stage(groups.select("id", "component", F.floor(place / CHUNK).alias("chunk")), "vector-groups")
-    last = placed.groupBy("component").agg(F.max("chunk").alias("last"))
-    tasks = placed.join(last, "component").select(
-        "id", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("with")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    placed = stage(groups.join(sizes, "component").select(
+        "id", "component", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk")), "vector-groups")
+    tasks = placed.select(
+        "id", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with")
     ).select("id", "component", "chunk", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("two"))
     bins = max(1, placed.count() // CHUNK)
     rows = tasks.join(classes, "id").withColumn("bin", F.pmod(F.xxhash64("component", "one", "two"), F.lit(bins)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from nodeglass.llm import words
-from nodeglass.llm.tables import stage, table
+from nodeglass.llm.tables import map_batches, stage, table
 
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
@@ -150,7 +150,7 @@ def cut_pieces(docs, vocabulary, key="doc_id", text="text", limit=SEQUENCE_TOKEN
     pieces = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType)]
                           + T._parse_datatype_string("piece int, start long, length long, ids_crc32 long").fields)
-    return pieces.mapInArrow(cut, schema).withColumnRenamed("key", key)
+    return map_batches(pieces, cut, schema).withColumnRenamed("key", key)
 
 
 def best_two_fit(lengths, limit):

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
-from nodeglass.llm.tables import table
+from nodeglass.llm.tables import map_batches, table
 
 # Kinds of data, in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -313,7 +313,7 @@ def find_personal_data(docs, key="doc_id", text="text"):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*kept, "spans"])
 
     schema = T.StructType([*docs.select(*kept).schema, *T._parse_datatype_string(f"spans {SPANS}")])
-    return docs.select(*kept).mapInArrow(find, schema)
+    return map_batches(docs.select(*kept), find, schema)
 
 
 def redact(docs, key="doc_id", text="text"):
@@ -340,7 +340,7 @@ def redact(docs, key="doc_id", text="text"):
             columns[place] = pa.array(values, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_batches(docs, clean, docs.schema)
 
 
 def _listed(spans):

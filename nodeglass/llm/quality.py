@@ -16,7 +16,7 @@ from pyspark.sql import functions as F, types as T
 
 from nodeglass.llm import words
 from nodeglass.llm.labelled import fold, with_labels
-from nodeglass.llm.tables import table
+from nodeglass.llm.tables import map_batches, table
 
 BUCKET_BITS = 17
 LENGTHS = (3, 4, 5)  # bytes of character n-grams
@@ -146,7 +146,7 @@ def score_quality(docs, labelled, key="doc_id", text="text"):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*kept, "score"])
 
     schema = T.StructType([*docs.select(*kept).schema, T.StructField("score", T.DoubleType())])
-    return docs.select(*kept).mapInArrow(score, schema)
+    return map_batches(docs.select(*kept), score, schema)
 
 
 def op6_quality_classifier(spark, sf_dir):

@@ -5,8 +5,13 @@ Intermediate tables go to the folder in ``spark.checkpoint.dir``, which all
 executors share; a lost executor costs the tasks it ran, never their inputs.
 """
 
+import pyarrow as pa
+
 from nodeglass.session import scratch_path
 
+# Rows that a Python task is handed at once; keeps tasks small beside long texts.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark, sf_dir, name):
     """The table ``name`` of a data folder."""
@@ -25,3 +30,18 @@ def free_name(name, columns):
     while name in columns:
         name += "_"
     return name
+
+
+def map_batches(df, function, schema):
+    """``df.mapInArrow`` with batches of about ``BATCH_BYTES``.
+
+    Sets the session's limit, as it is read when the work is planned. Rows stay
+    whole; a longer one makes a batch of its own.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # workers live on
+
+    return df.mapInArrow(run, schema)

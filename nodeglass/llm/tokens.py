@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from nodeglass.llm.tables import table
+from nodeglass.llm.tables import map_batches, table
 
 MARK = "▁"  # stands before each word in the vocabulary
 VOCABULARY = "piece_bpe_32k.model"
@@ -125,7 +125,7 @@ def count_tokens(docs, vocabulary, text="text"):
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_words", "n_tokens"])
 
     schema = T.StructType([*docs.select(*kept).schema, *T._parse_datatype_string(SCHEMA)])
-    return docs.select(*kept).mapInArrow(count, schema)
+    return map_batches(docs.select(*kept), count, schema)
 
 
 def op3_token_counts(spark, sf_dir):

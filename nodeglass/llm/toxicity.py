@@ -27,7 +27,7 @@ from pyspark.sql import functions as F, types as T
 
 from nodeglass.llm import words
 from nodeglass.llm.labelled import fit_logistic, fold, with_labels
-from nodeglass.llm.tables import free_name, stage, table
+from nodeglass.llm.tables import free_name, map_batches, stage, table
 
 ORDER = 5  # bytes of the longest sequences
 SHARED = 2  # sequences up to this length are counted over both classes together
@@ -40,7 +40,7 @@ WINDOW = 64  # bytes of a stretch
 WINDOW_WORDS = 8
 STRONG = 2.0  # log ratio beyond which a byte or word counts as strong evidence
 SCALE_ROWS = 20_000  # documents the logistic scale is learned from, at most
-FLUSH_ROWS = 1_000_000  # counts a task holds before it hands them on
+FLUSH_ROWS = 300_000  # counts a task holds before it hands them on
 _CLASSES = ("toxic", "ordinary")
 _FEATURES = ["_byte_mean", "_byte_peak", "_byte_strong", "_word_mean", "_word_peak", "_word_strong"]
 
@@ -83,22 +83,29 @@ class _Counts:
     """Counts by number and class, handed on when there are many."""
 
     def __init__(self, kind, numbers):
-        self.kind, self.numbers, self.held = kind, numbers, None
+        self.kind, self.numbers, self.parts, self.many = kind, numbers, [], 0
 
     def add(self, data, offsets, toxic):
         numbers, begin = self.numbers(data, offsets)
         found, which = np.unique(numbers, return_inverse=True)
         of_toxic = np.repeat(toxic, np.diff(begin))
-        own = [np.bincount(which[m], minlength=len(found)) for m in (of_toxic, ~of_toxic)]
-        if self.held is not None:
-            found, which = np.unique(np.concatenate((self.held[0], found)), return_inverse=True)
-            own = [np.bincount(which, np.concatenate(x), len(found)).astype(np.int64) for x in zip(self.held[1:], own)]
-        self.held = [found, *own]
-
-    def rows(self, at_least):
-        if self.held is not None and len(self.held[0]) >= at_least:
-            numbers, *own = self.held
-            self.held = None
+        self.parts.append([found, *(np.bincount(which[m], minlength=len(found)) for m in (of_toxic, ~of_toxic))])
+        self.many += len(found)
+        if self.many > 2 * FLUSH_ROWS:
+            self.merge()
+
+    def merge(self):
+        found, *own = map(np.concatenate, zip(*self.parts))
+        found, which = np.unique(found, return_inverse=True)
+        self.parts = [[found, *(np.bincount(which, x, len(found)).astype(np.int64) for x in own)]]
+        self.many = len(found)
+
+    def rows(self, last=False):
+        if self.parts and last:
+            self.merge()
+        if self.parts and (last or len(self.parts) == 1 and self.many >= FLUSH_ROWS):
+            (numbers, *own), = self.parts
+            self.parts, self.many = [], 0
             columns = [np.full(len(numbers), self.kind, np.int8), numbers.view(np.int64), *own]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["kind", "number", *_CLASSES])
 
@@ -117,11 +124,11 @@ def count_expressions(labelled):
             for at, data, offsets in words.blocks(batch.column(0)):
                 for counts in both:
                     counts.add(data, offsets, toxic[at:at + len(offsets) - 1])
-                    yield from counts.rows(FLUSH_ROWS)
+                    yield from counts.rows()
         for counts in both:
-            yield from counts.rows(1)
+            yield from counts.rows(last=True)
 
-    counted = labelled.select("text", "_label").mapInArrow(count, "kind byte, number long, toxic long, ordinary long")
+    counted = map_batches(labelled.select("text", "_label"), count, "kind byte, number long, toxic long, ordinary long")
     return counted.groupBy("kind", "number").agg(*(F.sum(c).alias(c) for c in _CLASSES))
 
 
@@ -271,7 +278,7 @@ def _with_features(docs, model, text, names=_FEATURES):
             found = features(model.value, batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found.T.copy())], names=[*columns, *names])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema, *(T.StructField(c, T.DoubleType()) for c in names)]))
+    return map_batches(docs, add, T.StructType([*docs.schema, *(T.StructField(c, T.DoubleType()) for c in names)]))
 
 
 def score_toxicity(docs, train, key="doc_id", text="text", column="score"):

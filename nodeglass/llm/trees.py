@@ -14,8 +14,8 @@ similarity reaches a threshold. The work goes in three steps.
    shingles, a node the OR of its children's bitmaps and their range of sizes.
    Pairs of nodes are taken down together and dropped as soon as their common
    bits or their sizes rule out the overlap a link needs. What arrives at the
-   leaves is compared exactly. Large groups are cut by size into chunks, and
-   each pair of chunks whose sizes fit is a task of its own.
+   leaves is compared exactly. Large groups are cut by size and hash into
+   chunks, and each pair of chunks whose sizes fit is a task of its own.
 
 All links between different sets are found; components need no more than one
 chain of links, so pairs already connected within a task are skipped.
@@ -30,14 +30,18 @@ from pyspark.sql import Window, functions as F
 
 from nodeglass.llm import words
 from nodeglass.llm.graph import components
-from nodeglass.llm.tables import stage, table
+from nodeglass.llm.tables import map_batches, stage, table
 from nodeglass.operators.skew import checked_broadcast
 
 SAMPLE_DOCUMENTS = 2048  # from which very common shingles are learned
 COMMON_IN = 3  # different sample sets that hold a common shingle, at least
 CELL_GROWTH = 1.5  # sizes that share a number of parts
-CHUNK_SHINGLES = 500_000
-CHUNK_SETS = 1500
+CHUNK_SHINGLES = 2_000_000
+CHUNK_SETS = 4000
+BIN_SHINGLES = 500_000  # of the chunk pairs that one call joins, about
+PAIRS_AT_ONCE = 50_000  # node pairs
+PART_ROWS = 200_000  # rows of parts that a task hands on at once
+BAND_GROWTH = 1.25  # sizes of a band of chunks
 FANOUT = 4
 
 
@@ -108,7 +112,7 @@ def common_shingles(docs, shingle):
             of = np.repeat([k for k, _ in found], [len(s) for _, s in found]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(of)], names=["hash", "of"])
 
-    listed = drawn.mapInArrow(sets, "hash long, of long").distinct().groupBy("hash").count()
+    listed = map_batches(drawn, sets, "hash long, of long").distinct().groupBy("hash").count()
     rows = listed.where(F.col("count") >= COMMON_IN).select("hash").toPandas()
     return np.sort(rows["hash"].to_numpy(np.int64).view(np.uint64))
 
@@ -123,18 +127,24 @@ def sets_of(docs, shingle):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "n", "k1", "k2"])
 
-    return docs.mapInArrow(name, "id long, n long, k1 long, k2 long")
+    return map_batches(docs, name, "id long, n long, k1 long, k2 long")
 
 
 def part_table(docs, shingle, percent, common):
     """(part, k1) for each part of each class; a task tells a class once."""
 
+    def rows(keys, of):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(of))], names=["part", "k1"])
+
     def cut(batches):
         parts, seen = Parts(percent), set()
         frequent = common.value
         for batch in batches:
-            keys, of = [], []
+            keys, of, many = [], [], 0
             for s in words.shingle_sets(batch.column(1), shingle):
+                if many >= PART_ROWS:
+                    yield rows(keys, of)
+                    keys, of, many = [], [], 0
                 k1 = int(words.set_key(s)[0]) if len(s) else None
                 if k1 is None or k1 in seen:
                     continue
@@ -145,11 +155,11 @@ def part_table(docs, shingle, percent, common):
                     rare = s[frequent[at] != s]
                 keys.append(part_keys(rare, len(s), parts))
                 of.append(np.full(len(keys[-1]), k1))
+                many += len(keys[-1])
             if keys:
-                columns = [pa.array(np.concatenate(keys)), pa.array(np.concatenate(of))]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "k1"])
+                yield rows(keys, of)
 
-    return docs.mapInArrow(cut, "part long, k1 long")
+    return map_batches(docs, cut, "part long, k1 long")
 
 
 class Tree:
@@ -189,24 +199,31 @@ def _survivors(one, two, a, b, percent, step=20_000):
 def candidate_pairs(one, two, percent):
     """Leaf pairs left by taking the node pairs of two trees down together.
 
-    With ``two is one`` each unordered pair comes once.
+    They come in several arrays; pairs are taken down in runs of ``PAIRS_AT_ONCE``,
+    so memory follows the depth of the trees. With ``two is one`` each unordered
+    pair comes once.
     """
-    depth = max(len(one.levels), len(two.levels))
     level = lambda tree, k: tree.levels[min(k, len(tree.levels) - 1)]
-    a = b = np.zeros(1, np.int64)
-    for k in range(depth - 1, -1, -1):
-        if k < depth - 1:
-            a, b = _children(a, one, k), b
-            a, b = a[0], b[a[1]]
-            down = _children(b, two, k)
-            a, b = a[down[1]], down[0]
-            if two is one:
-                a, b = a[a <= b], b[a <= b]
+    root = np.zeros(1, np.int64)
+    stack = [(max(len(one.levels), len(two.levels)) - 1, root, root)]
+    while stack:
+        k, a, b = stack.pop()
+        if len(a) > PAIRS_AT_ONCE:
+            half = len(a) // 2
+            stack += [(k, a[half:], b[half:]), (k, a[:half], b[:half])]
+            continue
         keep = _survivors(level(one, k), level(two, k), a, b, percent)
         a, b = a[keep], b[keep]
-    if two is one:
-        a, b = a[a < b], b[a < b]
-    return a, b
+        if k and len(a):
+            child, whose = _children(a, one, k - 1)
+            a, b = child, b[whose]
+            child, whose = _children(b, two, k - 1)
+            a, b = a[whose], child
+            if two is one:
+                a, b = a[a <= b], b[a <= b]
+            stack.append((k - 1, a, b))
+        elif len(a):
+            yield (a[a < b], b[a < b]) if two is one else (a, b)
 
 
 def _children(nodes, tree, k):
@@ -255,7 +272,7 @@ def tree_links(sets, side, percent):
             return []
         pairs = candidate_pairs(Tree([sets[i] for i in left], bits), Tree([sets[i] for i in right], bits), percent)
     links, out = Links(len(sets)), []
-    for i, j in zip(left[pairs[0]].tolist(), right[pairs[1]].tolist()):
+    for i, j in ((i, j) for a, b in pairs for i, j in zip(left[a].tolist(), right[b].tolist())):
         if links.root(i) != links.root(j):
             x, y = sets[i], sets[j]
             common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
@@ -264,24 +281,35 @@ def tree_links(sets, side, percent):
     return out
 
 
+def _chunked(members):
+    """``members`` with _chunk: 0 in groups that make one task, else by size band
+    and, within a band, by hash into as many chunks as its weight needs."""
+    bands = members.groupBy("_group", "_band").agg(F.sum("n").alias("_weight"), F.count(F.lit(1)).alias("_sets"))
+    whole = bands.groupBy("_group").agg(
+        ((F.sum("_weight") <= CHUNK_SHINGLES) & (F.sum("_sets") <= CHUNK_SETS)).alias("_whole"))
+    slots = F.greatest(F.ceil(F.col("_weight") / CHUNK_SHINGLES), F.ceil(F.col("_sets") / CHUNK_SETS))
+    bands = bands.join(whole, "_group").select("_group", "_band", "_whole", slots.alias("_slots"))
+    slot = (F.col("_band") + 1) * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("_slots"))
+    return members.join(bands, ["_group", "_band"]).select(
+        "_group", "id", "n", F.when(F.col("_whole"), F.lit(0)).otherwise(slot).cast("long").alias("_chunk"))
+
+
 def set_links(classes, docs, groups, shingle, percent):
     """Links (a, b) between the representatives of classes in one group."""
-    members = classes.join(groups, classes["k1"] == groups["id"]).select(
-        F.col("component").alias("_group"), F.col("rep").alias("id"), "n")
-    by_size = Window.partitionBy("_group").orderBy("n", "id")
-    upto = by_size.rowsBetween(Window.unboundedPreceding, -1)
-    members = stage(members.withColumn("_chunk", F.greatest(
-        F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / CHUNK_SHINGLES),
-        F.floor((F.row_number().over(by_size) - 1) / CHUNK_SETS))), "sets-in-groups")
+    members = stage(classes.join(groups, classes["k1"] == groups["id"]).select(
+        F.col("component").alias("_group"), F.col("rep").alias("id"), "n",
+        F.floor(F.log("n") / math.log(BAND_GROWTH)).alias("_band")), "sets-in-groups")
+    members = stage(_chunked(members), "sets-in-chunks")
     chunks = members.groupBy("_group", "_chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     fits = F.col("y.low") * percent <= F.col("x.high") * 100
     units = chunks.alias("x").join(
         chunks.alias("y"), (F.col("x._group") == F.col("y._group")) & (F.col("x._chunk") <= F.col("y._chunk")) & fits
     ).select(F.col("x._group").alias("_group"), F.col("x._chunk").alias("_one"), F.col("y._chunk").alias("_two"))
     tasks = units.select("_group", "_one", "_two", F.explode(F.array_distinct(F.array("_one", "_two"))).alias("_chunk"))
-    bins = max(1, math.ceil((members.agg(F.sum("n")).first()[0] or 0) / CHUNK_SHINGLES))
+    placed = members.join(tasks, ["_group", "_chunk"])
+    bins = max(1, math.ceil((placed.agg(F.sum("n")).first()[0] or 0) / BIN_SHINGLES))
     texts = stage(docs.join(checked_broadcast(members.select("id").distinct()), "id").dropDuplicates(["id"]), "texts-in-groups")
-    rows = members.join(tasks, ["_group", "_chunk"]).join(texts, "id").withColumn(
+    rows = placed.join(texts, "id").withColumn(
         "_bin", F.pmod(F.xxhash64("_group", "_one", "_two"), F.lit(bins)))
 
     def join(rows):

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 # Texts are taken in blocks of about this many bytes, so that the arrays of a
 # block stay small; a longer single text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,11 +36,13 @@ def mix(x):
 
 def blocks(column):
     """(first row, bytes, offsets) for runs of texts; a null text is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return
     _, places, content = column.buffers()
-    offsets = np.frombuffer(places, np.int64)[column.offset:column.offset + len(column) + 1]
+    size = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(places, size)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     content = np.frombuffer(content, np.uint8) if content is not None and len(content) else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
