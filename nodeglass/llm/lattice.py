@@ -10,9 +10,13 @@ nothing below the threshold links. Equal vectors are one vector with a
 multiplicity throughout.
 
 The number of blocks grows with the logarithm of the number of vectors, which
-keeps chance meetings of unrelated vectors rare.
+keeps chance meetings of unrelated vectors rare. The number of tables follows
+from the blocks, so that a pair at a cosine of 0.9 that nothing else brings
+together meets with a probability of ``FOUND`` at every size.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,15 +26,30 @@ from nodeglass.llm.graph import components
 from nodeglass.llm.tables import map_batches, stage, table
 from nodeglass.llm.words import mix
 
-TABLES = 24
+FOUND = 0.93  # probability that a lone pair at a cosine of 0.9 meets in a cell
 CELL = 1.75  # width of a lattice step, in units of a projected coordinate
+# Of a block at a cosine of 0.9 and this CELL, by simulation of 400,000 pairs: same
+# nearest point; points that differ but meet when probed; and for two blocks that
+# differ, that either vector probes one of them.
+SAME, PROBED, EITHER = 0.216, 0.206, 0.0153
 CHUNK = 2000  # vectors on either side of one block of cosines, about
 SEED = 8
 
 
 def blocks_for(vectors):
-    """Blocks of a table: 3 up to about 200,000 vectors, one more per factor 32."""
-    return 3 + max(0, int(np.ceil(np.log2(max(vectors, 1) / 200_000) / 5)))
+    """Blocks of a table: 3 up to 200,000 vectors, one more per factor 100.
+
+    With the tables that a further block needs, the cells an unrelated vector is
+    met in become about 120 times fewer.
+    """
+    return 3 + max(0, math.ceil(math.log(max(vectors, 1) / 200_000, 100)))
+
+
+def tables_for(blocks):
+    """Tables in which a pair at a cosine of 0.9 meets with probability ``FOUND``."""
+    meet = (SAME ** blocks + blocks * SAME ** (blocks - 1) * PROBED
+            + math.comb(blocks, 2) * SAME ** (blocks - 2) * EITHER)
+    return math.ceil(math.log(1 - FOUND) / math.log(1 - meet))
 
 
 def _nearest_even(y):
@@ -50,24 +69,21 @@ def decode(y):
     return np.where(nearer, 2 * whole, 2 * half).astype(np.int64), np.where(nearer, 2 * half, 2 * whole).astype(np.int64)
 
 
-def cells(vectors, blocks, tables=TABLES):
-    """Cell numbers (vectors, tables, 1 + blocks): the own and the probed ones."""
+def cells(vectors, blocks):
+    """For each table the cell numbers (vectors, 1 + blocks): the own and the probed ones."""
     n, size = vectors.shape
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     rng = np.random.default_rng([SEED, size])
     weights = rng.integers(1, 1 << 62, 8, dtype=np.uint64) | np.uint64(1)
-    out = np.empty((n, tables, 1 + blocks), np.uint64)
-    for t in range(tables):
+    for t in range(tables_for(blocks)):
         own, other = np.zeros((2, n, blocks), np.uint64)
         for b in range(blocks):
             near, next_ = decode(unit @ rng.normal(size=(size, 8)) / CELL)
             salt = np.array([(size << 32) + t * 64 + b], np.uint64)
             own[:, b] = mix((near.view(np.uint64) * weights).sum(axis=1, dtype=np.uint64) + mix(salt))
             other[:, b] = mix((next_.view(np.uint64) * weights).sum(axis=1, dtype=np.uint64) + mix(salt))
-        out[:, t, 0] = own.sum(axis=1, dtype=np.uint64)
-        for b in range(blocks):
-            out[:, t, 1 + b] = out[:, t, 0] - own[:, b] + other[:, b]
-    return out
+        whole = own.sum(axis=1, dtype=np.uint64)[:, None]
+        yield np.concatenate((whole, whole - own + other), axis=1)
 
 
 def _matrix(column):
@@ -84,9 +100,9 @@ def _cell_table(classes, blocks):
             sizes = batch.column(2).to_numpy()
             for size in np.unique(sizes):
                 rows = pa.array(sizes == size)
-                found = cells(_matrix(batch.column(1).filter(rows)), blocks).reshape(int((sizes == size).sum()), -1)
-                ids = np.repeat(batch.column(0).filter(rows).to_numpy(), found.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(ids)], names=["cell", "id"])
+                ids = np.repeat(batch.column(0).filter(rows).to_numpy(), 1 + blocks)
+                for found in cells(_matrix(batch.column(1).filter(rows)), blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(ids)], names=["cell", "id"])
 
     return map_batches(classes.select("id", "vector", F.size("vector").alias("size")), enter, "cell long, id long")
 

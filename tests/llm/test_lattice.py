@@ -1,5 +1,6 @@
 import brute
 import numpy as np
+import pytest
 
 from nodeglass.llm import lattice
 
@@ -69,6 +70,35 @@ def test_recall_near_the_threshold(spark):
     assert out["n_links"].sum() >= 0.9 * len(rows)  # each has one partner
 
 
+def planted(rng, pairs, low, high):
+    """Vectors of 64 dimensions, each followed by one at a cosine from low to high."""
+    x, z = rng.normal(size=(2, pairs, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (pairs, 1))
+    return np.stack((x, c * x + np.sqrt(1 - c * c) * z), axis=1).reshape(-1, 64)
+
+
+@pytest.mark.parametrize("blocks", [3, 4, 5])
+def test_lone_pairs_meet_whatever_the_blocks(blocks):
+    """A pair at a cosine of 0.9 shares a cell of some table."""
+    vectors = planted(np.random.default_rng(11), 400, 0.9, 0.9)
+    met = np.zeros(400, bool)
+    for found in lattice.cells(vectors, blocks):
+        met |= (found[::2, :, None] == found[1::2, None, :]).any(axis=(1, 2))
+    assert met.mean() >= 0.9
+
+
+@pytest.mark.parametrize("vectors", [100_000, 1_000_000, 100_000_000])
+def test_recall_at_the_threshold_at_every_size(spark, monkeypatch, vectors):
+    blocks = lattice.blocks_for(vectors)
+    monkeypatch.setattr(lattice, "blocks_for", lambda n: blocks)
+    rows = [(i, v.tolist()) for i, v in enumerate(planted(np.random.default_rng(12), 200, 0.9001, 0.95))]
+    out = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert out.agg({"n_links": "sum"}).first()[0] >= 0.9 * len(rows)  # each has one partner
+
+
 def test_edge_rows(spark):
     v = [1.0, 2.0, 0.0]
     rows = [(1, None), (2, []), (3, [0.0, 0.0, 0.0]), (4, [1.0, None, 0.0]), (5, [float("nan"), 1.0, 0.0]),
