@@ -284,21 +284,18 @@ def _with_features(docs, model, text, names=_FEATURES):
 def score_toxicity(docs, train, key="doc_id", text="text", column="score"):
     """``docs`` with ``column``, 0 to 1, higher for likelier toxic texts.
 
-    ``train``: documents (key, text, _label); every fourth by hash of the key is
-    kept for the scale, of those at most about ``SCALE_ROWS``, and the counts
-    come from all others. Null and empty texts have no evidence and get the
+    ``train``: documents (key, text, _label); a quarter by hash of the key, but at
+    most about ``SCALE_ROWS``, is kept for the scale, and the counts come from all
+    others. Null and empty texts have no evidence and get the
     score of a ratio of 0. Without training documents of both classes on the
     scale a ratio of 10 over a stretch of words scores one half. A column of that name is
     replaced; rows come out as often as they came in.
     """
     spark = docs.sparkSession
     train = train.select(F.col(key).alias("key"), F.col(text).alias("text"), "_label")
-    part = F.pmod(F.xxhash64("key"), F.lit(4))
-    model = spark.sparkContext.broadcast(fit(train.where(part != 0)))
-    scale = train.where(part == 0)
-    number = scale.count()
-    if number > SCALE_ROWS:
-        scale = scale.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(number)) < SCALE_ROWS)
+    for_scale = F.pmod(F.xxhash64("key"), F.lit(max(4 * SCALE_ROWS, train.count()))) < SCALE_ROWS
+    model = spark.sparkContext.broadcast(fit(train.where(~for_scale)))
+    scale = train.where(for_scale)
     rows = _with_features(scale.select("_label", "text"), model, "text").drop("text").toPandas()
     x, y = rows[_FEATURES].to_numpy(), rows["_label"].to_numpy()
     weights = fit_logistic(x, y) if 0 < y.sum() < len(y) else np.array([0.0, 0.0, 0.0, 0.0, 1.0, 0.0, -10.0])

@@ -85,6 +85,14 @@ def test_toxicity_sees_words_not_partitions(spark, known):
     assert scores[0] == pytest.approx(scores[1]) and scores[0][1] > 0.5 > scores[0][2]
 
 
+def test_counts_cover_all_but_the_scale_sample(spark, known, monkeypatch):
+    counted, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "SCALE_ROWS", 10)
+    monkeypatch.setattr(toxicity, "fit", lambda rows: counted.append(rows.count()) or fit(rows))
+    toxicity.score_toxicity(spark.createDataFrame([(1, "w1")], "doc_id long, text string"), known)
+    assert 375 < counted[0] < 400
+
+
 def test_byte_model_by_hand(spark):
     """Probabilities of a tiny corpus against counts in dictionaries."""
     texts = [("abab cab", 1), ("bb ab", 0), ("cabbage", 0)]
