@@ -3,14 +3,18 @@
 Patterns find the sure cases, which stay whatever follows. The other words that
 hold a digit, ``@`` or ``+`` are nodes of a random field per document, labelled
 as no data or one of the kinds. Words next to each other are joined by chain
-edges; words that repeat or resemble an earlier one (the same letters and digits,
-the same last digits, the name before an ``@``) by skip edges, however far apart.
+edges; words that repeat or resemble each other (the same letters and digits, the
+same last digits, the name before an ``@``) by skip edges, however far apart.
 Loopy message passing then carries the labels of sure cases to their look-alikes,
 so a number written with its prefix once and without it later is found twice.
 
 Weights are learned by pseudo-likelihood on a bounded sample of documents, where
-the patterns' findings are the labels. A word repeated n times has n - 1 skip
-edges, one to its last occurrence, so the work is linear in the text.
+the patterns' findings are the labels. Skip edges lead from each of n look-alikes
+to the first finding of every kind among them, so each is one edge away from a
+sure case. Where none was found they lead to the first of them (of those that
+resemble a finding otherwise, if any do), and only from words that resemble none.
+That is at most one edge per kind, key and word, linear in the text. Messages are
+passed until they no longer change.
 """
 
 import re
@@ -39,7 +43,8 @@ SAMPLE_DOCUMENTS = 20_000  # of which those with digits or @ train the field,
 SAMPLE_WORDS = 50_000  # one after the other until they have so many words of the field
 RUN_WORDS = 20_000
 BUCKETS = 4096
-ROUNDS = 8  # of message passing
+SETTLED = 1e-3  # change of a message or node below which it has settled
+MOST_ROUNDS = 50  # of message passing, should loops keep it from settling
 ALIKE = 6.0  # log weight for equal labels of words that repeat or resemble each other
 CERTAIN = 0.9  # probability from which a word gets a span
 _SURE = 20.0  # log potential of a pattern's finding
@@ -115,7 +120,7 @@ class Field:
 
     def add(self, document, text, base):
         """Add a document's words with a digit, ``@`` or ``+``."""
-        first, last = {}, None
+        alike, last = {}, None
         at = 0
         for number, m in enumerate(_WORD.finditer(text)):
             word = m.group()
@@ -134,14 +139,30 @@ class Field:
                 self.features[last[1]][4] = zlib.crc32(("n" + shape).encode()) % BUCKETS
             self.features.append([zlib.crc32(f.encode()) % BUCKETS for f in [*features, "nw"]])
             for key in dict.fromkeys(_keys(word)):
-                if key in first:
-                    self.skip.append((first[key], node))
-                first[key] = node
+                alike.setdefault(key, []).append(node)
             self.document.append(document)
             self.start.append(m.start())
             self.end.append(m.end())
             self.label.append(label)
             last = (number, node, shape)
+        joined, unsure = set(), []
+        for nodes in alike.values():
+            hubs = {}
+            for node in nodes:
+                hubs.setdefault(self.label[node], node)
+            hubs.pop(0, None)
+            if not hubs:
+                unsure.append(nodes)
+                continue
+            joined.update(nodes)
+            for node in nodes:
+                # A finding is joined to the first of its own kind, any other word to all.
+                ends = [hubs[self.label[node]]] if self.label[node] else hubs.values()
+                self.skip += [(min(hub, node), max(hub, node)) for hub in ends if hub != node]
+        # Words joined to a finding need no more; many of one mind would outvote it.
+        for nodes in unsure:
+            hub = next((node for node in nodes if node in joined), nodes[0])
+            self.skip += [(min(hub, node), max(hub, node)) for node in nodes if node != hub and node not in joined]
 
     def arrays(self):
         edges = lambda pairs: np.array(pairs, np.int64).reshape(-1, 2)
@@ -192,8 +213,13 @@ def learn(field, steps=100, rate=0.5, penalty=1e-4):
     return tuple(weights)
 
 
-def pass_messages(weights, field, rounds=ROUNDS):
-    """Label probabilities of every node after loopy belief propagation."""
+def pass_messages(weights, field, rounds=None):
+    """Label probabilities of every node after loopy belief propagation.
+
+    ``rounds``: exactly so many, or until nothing moves. Only messages whose
+    source has moved or which still move themselves are made again, so what a
+    document gets does not depend on the others of the field. Findings stay.
+    """
     node, on_chain, on_skip = weights
     features, chain, skip, label = field.arrays()
     own = node[features].sum(axis=1)
@@ -201,19 +227,27 @@ def pass_messages(weights, field, rounds=ROUNDS):
     own[label > 0, label[label > 0]] = _SURE
     edges = np.concatenate((chain, skip))
     tables = np.concatenate((np.repeat(on_chain[None], len(chain), 0), np.repeat(on_skip[None], len(skip), 0)))
-    source = np.concatenate((edges[:, 0], edges[:, 1]))
-    target = np.concatenate((edges[:, 1], edges[:, 0]))
     tables = np.concatenate((tables, tables.transpose(0, 2, 1)))
-    back = np.concatenate((np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))))
-    messages = np.zeros((len(source), LABELS))
-    belief = own
-    for _ in range(rounds if len(source) else 0):
-        out = ((belief[source] - messages[back])[:, :, None] + tables)
+    source, target = np.concatenate((edges, edges[:, ::-1])).T
+    messages = np.zeros((len(tables), LABELS))
+    belief, least = own.copy(), SETTLED if rounds is None else 0
+    stale = np.arange(len(tables))
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
+        if not len(stale):
+            break
+        back = (stale + len(edges)) % len(tables)
+        out = (belief[source[stale]] - messages[back])[:, :, None] + tables[stale]
         top = out.max(axis=1, keepdims=True)
         out = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
         out -= out.max(axis=1, keepdims=True)
-        messages = 0.5 * messages + 0.5 * out
-        belief = own + _sum_at(target, messages, len(own))
+        change = 0.5 * (out - messages[stale])
+        messages[stale] += change
+        step = _sum_at(target[stale], change, len(own))
+        step[label > 0] = 0
+        belief += step
+        again = (np.abs(step).max(axis=1) > least)[source]
+        again[stale[np.abs(change).max(axis=1) > least]] = True
+        stale = np.flatnonzero(again)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 

@@ -62,6 +62,30 @@ def test_skip_edges_are_one_per_repeat():
     assert len(field.arrays()[2]) == 2 * 49  # by the whole word and by its last digits
 
 
+@pytest.mark.parametrize("lean", [0.0, 2.0])
+def test_all_repeats_of_one_number_are_found(lean):
+    """Fifty repeats, with the sure one first, last or between; words lean to no data."""
+    weights = pii.learn(pii.Field())
+    weights[0][:, 0] = lean / 5
+    words = ["202-555-0101"] * 50
+    for at in (0, 25, 50):
+        text = " and ".join([*words[:at], "+1-202-555-0101", *words[at:]])
+        spans, = pii.spans_of([text], weights)
+        assert len(spans) == 51 and {kind for _, kind, _, _ in spans} == {3}
+
+
+def test_a_document_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(4)
+    weights = tuple(rng.normal(size=s) for s in ((pii.BUCKETS, pii.LABELS), (pii.LABELS,) * 2, (pii.LABELS,) * 2))
+    texts = ["a1 b2 c3 tel5550199 x tel5550199", "+1-202-555-0101 9 " + "202-555-0101 7 " * 40]
+    both, one = pii.Field(), pii.Field()
+    for k, text in enumerate(texts):
+        both.add(k, text, pii.base_spans(text))
+    one.add(0, texts[0], [])
+    p = pii.pass_messages(weights, one)
+    assert (p == pii.pass_messages(weights, both)[:len(p)]).all()
+
+
 def test_edge_rows(edge_docs, no_docs):
     out = pii.find_personal_data(edge_docs)
     assert sorted(out.columns) == sorted(edge_docs.columns) and out.count() == edge_docs.count()
