@@ -14,6 +14,8 @@ _PLACES = {
     "op8_embedding_near_dedup": "lattice",
     "op9_best_fit_packing": "packing",
     "op10_url_filters": "urls",
+    "op11_dataset_manifest": "dataset_manifest",
+    "op12_prefix_trie": "prefix_trie",
 }
 
 

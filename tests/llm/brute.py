@@ -91,3 +91,55 @@ def base_spans(text):
 
 def digest(spans):
     return hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def tree_paths(nodes, fanout=8):
+    """Root of a list of digests, and for each its (left, right) siblings by level."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for i, p in enumerate(at):
+            run = p // fanout * fanout
+            paths[i].append(("".join(nodes[run:p]), "".join(nodes[p + 1:run + fanout])))
+        at = [p // fanout for p in at]
+        nodes = [sha(*nodes[i:i + fanout]) for i in range(0, len(nodes), fanout)]
+    return nodes[0], paths
+
+
+def dataset_manifest(rows):
+    """Rows (key, leaf, subroot, root, proof, folded) of (key, group, leaf, altered) rows."""
+    first = lambda x: (x is not None, x)
+    groups = {}
+    for key, group, leaf, altered in sorted(rows, key=lambda r: (first(r[0]), r[2])):
+        groups.setdefault(group, []).append((key, leaf, altered))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = [tree_paths([leaf for _, leaf, _ in groups[g]]) for g in names]
+    root, tops = tree_paths([t[0] for t in trees])
+    out = []
+    for name, (subroot, paths), top in zip(names, trees, tops):
+        for (key, leaf, altered), path in zip(groups[name], paths):
+            folded = altered or leaf
+            for left, right in path + top:
+                folded = sha(left, folded, right)
+            out.append((key, leaf, subroot, root, sha(*(l + r for l, r in path + top)), folded))
+    return out
+
+
+def trie(conversations):
+    """Node rows of {conv_id: [(role, text), ...]}."""
+    nodes = {}
+    for conv, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(tuple(turns[:d]), []).append(conv)
+    out = []
+    for node, members in nodes.items():
+        under = [n for n in nodes if n[:len(node)] == node]
+        leaves = [n for n in under if not any(m[:-1] == n for m in nodes if m)]
+        saved = sum((len(nodes[n]) - 1) * len(n[-1][1].encode()) for n in under if n)
+        ends = sorted(c for c in members if len(conversations[c]) == len(node))
+        out.append((min(members), len(node), min(nodes[node[:-1]]) if node else None, len(members),
+                    sum(1 for m in nodes if m and m[:-1] == node), len(leaves), saved, sha(",".join(map(str, ends)))))
+    return out

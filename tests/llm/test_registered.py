@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_of_each_number():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
