@@ -1,14 +1,12 @@
 """Supervised node classifier and its evaluation."""
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from nodeglass import settings as S
+from nodeglass.operators import boosting
 from nodeglass.operators.features import NODE_FEATURES
-from nodeglass.session import checkpoint_dir
+from nodeglass.operators.running import running_totals
 
 
 def class_balance(node_table, label="is_infected"):
@@ -23,36 +21,16 @@ def class_balance(node_table, label="is_infected"):
     )
 
 
-def _assembled(node_table):
-    filled = node_table.na.fill(0, NODE_FEATURES)
-    return VectorAssembler(inputCols=NODE_FEATURES, outputCol="features").transform(filled)
-
-
-def fit_classifier(node_table, rounds=S.BOOST_ROUNDS, depth=S.BOOST_DEPTH, rate=S.BOOST_RATE, seed=S.SEED):
+def fit_classifier(node_table, rounds=S.BOOST_ROUNDS, depth=S.BOOST_DEPTH, rate=S.BOOST_RATE):
     """Boosted trees with the positive class weighted up to balance."""
-    checkpoint_dir(node_table.sparkSession)  # boosting cuts its lineage there
-    balance = class_balance(node_table).select("positive_weight").scalar()
-    rows = _assembled(node_table).select(
-        "features", F.col("is_infected").cast("double").alias("label"),
-        F.when(F.col("is_infected"), balance).otherwise(1.0).alias("weight"),
-    )
-    booster = GBTClassifier(
-        maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, weightCol="weight", checkpointInterval=10
-    )
-    rows = rows.persist()  # one row per node, read several times by each round
-    try:
-        return booster.fit(rows)
-    finally:
-        rows.unpersist()
+    balance = class_balance(node_table).select("positive_weight").first()[0]
+    return boosting.fit(node_table, NODE_FEATURES, "is_infected", rounds, depth, rate, float(balance))
 
 
 def score_nodes(model, node_table, cut=0.5):
     """Add ``infected_prob`` and ``predicted_infected``; missing features are 0."""
-    probability = vector_to_array("probability")[1]
-    return model.transform(_assembled(node_table)).select(
-        *node_table.columns, probability.alias("infected_prob"),
-        (probability >= cut).alias("predicted_infected"),
-    )
+    scored = node_table.na.fill(0, NODE_FEATURES).withColumn("infected_prob", boosting.probability(model, node_table.sparkSession))
+    return scored.withColumn("predicted_infected", F.col("infected_prob") >= cut)
 
 
 def confusion(scored, label="is_infected", prediction="predicted_infected"):
@@ -83,14 +61,33 @@ def class_report(scored, label="is_infected", prediction="predicted_infected"):
     return report
 
 
+def rank_auc(scored, label="is_infected", score="infected_prob"):
+    """One row: the area under the ROC curve, null without both classes.
+
+    The share of (positive, negative) pairs in which the positive has the higher
+    score, half for ties: rows are counted by score, and running totals over the
+    sorted scores tell how many negatives lie below each.
+    """
+    hit = F.col(label).cast("boolean")
+    counts = scored.where(hit.isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
+        F.count_if(hit).alias("positives"), F.count_if(~hit).alias("negatives"))
+    below = running_totals(counts, ["score"], {"up_to": "negatives"})
+    won = F.sum(F.col("positives") * (F.col("up_to") - F.col("negatives") / 2))
+    pairs = F.sum("positives").cast("double") * F.sum("negatives")
+    return below.agg(F.when(pairs > 0, won / pairs).alias("auc"))
+
+
 def auc(scored, label="is_infected", probability="infected_prob"):
-    rows = scored.select(F.col(probability).alias("rawPrediction"), F.col(label).cast("double").alias("label"))
-    return BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0).evaluate(rows)
+    return rank_auc(scored, label, probability).first()[0]
 
 
-def save_classifier(model, path):
-    model.write().overwrite().save(path)
+def save_classifier(spark, model, path):
+    boosting.as_table(spark, model).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_classifier(path):
-    return GBTClassificationModel.load(path)
+def load_classifier(spark, path):
+    """A saved model; a missing one is an error."""
+    try:
+        return boosting.from_table(spark.read.parquet(path), NODE_FEATURES)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no model at {path}; run the training job first") from e

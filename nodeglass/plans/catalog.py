@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from nodeglass import functions as X, schemas, settings as S, sources
 from nodeglass.operators import (
-    anomalies as anom, asof, audit, changes, classify, clones, features, forest, latency, latest,
+    anomalies as anom, asof, audit, boosting, changes, classify, clones, features, forest, latency, latest,
     numbering, quality, rules, topk, windows,
 )
 from nodeglass.plans import jobs, reports
@@ -22,9 +22,6 @@ from nodeglass.streaming import ingest, state
 QUERIES, ORACLES = {}, {}
 _MODELS = {}
 
-# Boosting rounds in the registered queries; the library default is higher.
-QUICK_ROUNDS = 20
-
 
 class Tables:
     """The telemetry views of one data folder."""
@@ -77,7 +74,11 @@ class Tables:
 
     @cached_property
     def classifier(self):
-        return classify.fit_classifier(self.stored_node_features, rounds=QUICK_ROUNDS)
+        """One fitted classifier per session and folder, shared by the model queries."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "classifier")
+        if key not in _MODELS:
+            _MODELS[key] = classify.fit_classifier(self.stored_node_features)
+        return _MODELS[key]
 
     @cached_property
     def clean_nodes(self):
@@ -1007,11 +1008,46 @@ def _(t):
 
 @query("ml6_train_classifier")
 def _(t):
-    importances = t.classifier.featureImportances.toArray()
-    weights = [(name, float(w)) for name, w in zip(features.NODE_FEATURES, importances)]
+    weights = list(t.classifier.importances().items())
     return t.spark.createDataFrame(weights, "feature string, importance double")
 
 
+# The first split of a fit, which any engine can find: the greatest gain over all
+# quantile cuts, from gradients at even odds.
+@query("ml6_first_split", f"""
+WITH rows AS (
+  SELECT node_id, is_infected, unnest({features.NODE_FEATURES}) AS feature,
+    unnest(range({len(features.NODE_FEATURES)})) AS place, unnest([{', '.join(f'coalesce(CAST({c} AS DOUBLE), 0)' for c in features.NODE_FEATURES)}]) AS x
+  FROM features
+), balance AS (
+  SELECT CASE WHEN count(*) FILTER (WHERE is_infected) > 0
+    THEN count(*) FILTER (WHERE NOT is_infected) / count(*) FILTER (WHERE is_infected) ELSE 1.0 END AS w FROM features
+), ranked AS (
+  SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS r, count(*) OVER (PARTITION BY feature) AS n FROM rows
+), cuts AS (
+  SELECT DISTINCT feature, x AS cut FROM ranked, range(1, 256) t(k) WHERE r = (k * n + 255) // 256
+), sums AS (
+  SELECT feature, place, cut, sum(CASE WHEN x <= cut THEN g ELSE 0 END) AS gl, sum(CASE WHEN x <= cut THEN h ELSE 0 END) AS hl,
+    sum(CASE WHEN x <= cut THEN 0 ELSE g END) AS gr, sum(CASE WHEN x <= cut THEN 0 ELSE h END) AS hr
+  FROM (SELECT *, CASE WHEN is_infected THEN -0.5 * w ELSE 0.5 END AS g, CASE WHEN is_infected THEN 0.25 * w ELSE 0.25 END AS h
+        FROM rows, balance) JOIN cuts USING (feature)
+  GROUP BY feature, place, cut
+), gains AS (
+  SELECT *, (gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1)) / 2 AS gain
+  FROM sums WHERE hl >= 1 AND hr >= 1
+)
+SELECT feature, round(cut, 6) AS threshold, round(gain, 6) AS gain, round(-{S.BOOST_RATE} * gl / (hl + 1), 6) AS left_value,
+  round(-{S.BOOST_RATE} * gr / (hr + 1), 6) AS right_value
+FROM gains WHERE gain > 1e-6 ORDER BY gain DESC, place, cut LIMIT 1""")
+def _(t):
+    model = classify.fit_classifier(t.stored_node_features, rounds=1, depth=1)
+    tree = boosting.as_table(t.spark, model)
+    of = lambda slot, column: F.max(F.when(F.col("slot") == slot, F.col(column)))
+    split = tree.agg(of(0, "feature").alias("feature"), of(0, "threshold").alias("threshold"), of(0, "gain").alias("gain"),
+                     of(1, "value").alias("left_value"), of(2, "value").alias("right_value")).where("feature IS NOT NULL")
+    return _rounded(split, "threshold", "gain", "left_value", "right_value", digits=6)
+
+
 @query("ml7_score_nodes")
 def _(t):
     return classify.score_nodes(t.classifier, t.stored_node_features).select("node_id", "infected_prob", "predicted_infected")
@@ -1023,6 +1059,16 @@ def _(t):
     return classify.class_report(scored).withColumn("auc", F.lit(classify.auc(scored)))
 
 
+@query("ml8_rank_auc", """
+SELECT round(sum(CASE WHEN n.s < p.s THEN n.n * p.n WHEN n.s = p.s THEN n.n * p.n / 2 ELSE 0 END) / sum(n.n * p.n), 9) AS auc
+FROM (SELECT round(avg_response_time_ms) AS s, count(*)::DOUBLE AS n FROM features WHERE is_infected GROUP BY 1) p,
+     (SELECT round(avg_response_time_ms) AS s, count(*)::DOUBLE AS n FROM features WHERE NOT is_infected GROUP BY 1) n""")
+def _(t):
+    """Area under the curve of a score that any engine can make, with ties."""
+    scored = t.node_features.withColumn("score", F.round("avg_response_time_ms"))
+    return _rounded(classify.rank_auc(scored, score="score"), "auc")
+
+
 # The same evaluation on a prediction any engine can make.
 @query("ml8_class_report", """
 WITH p AS (SELECT is_infected AS a, avg_response_time_ms > 140 AS p FROM features),
@@ -1208,7 +1254,7 @@ def _(t):
 @query("rp11_training_job")
 def _(t):
     path = t.scratch("models")
-    _, found = jobs.train(t.logs, t.nodes, path, trees=50, rounds=10)
+    _, found = jobs.train(t.logs, t.nodes, path)
     models = jobs.load_models(t.spark, path)
     rate = anom.flag_rate(forest.score_logs(t.loaded, models.forest)).select("flag_rate").scalar()
     return found["classes"].withColumns({"auc": F.lit(found["auc"]), "flag_rate": rate})

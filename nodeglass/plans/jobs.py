@@ -40,12 +40,12 @@ class Models:
 
 def save_models(models, path):
     save_forest(models.forest, f"{path}/forest")
-    save_classifier(models.classifier, f"{path}/classifier")
+    save_classifier(models.forest.trees.sparkSession, models.classifier, f"{path}/classifier")
 
 
 def load_models(spark, path):
     forest = load_forest(spark, f"{path}/forest")
-    return Models(forest, load_classifier(f"{path}/classifier"))
+    return Models(forest, load_classifier(spark, f"{path}/classifier"))
 
 
 def train(logs, nodes, path=None, policy="effective", mode="cyclic", window=S.WINDOW,
@@ -56,7 +56,7 @@ def train(logs, nodes, path=None, policy="effective", mode="cyclic", window=S.WI
     fill = S.LOAD_FILL if fill is None else fill
     forest = fit_forest(log_features(loaded, fill), fill, trees=trees, contamination=contamination, seed=seed)
     table = materialise(node_features(loaded, nodes))
-    classifier = fit_classifier(table, rounds=rounds, seed=seed)
+    classifier = fit_classifier(table, rounds=rounds)
     scored = materialise(score_nodes(classifier, table))
     models = Models(forest, classifier)
     if path:
