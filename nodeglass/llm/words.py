@@ -66,19 +66,29 @@ def word_spans(data, offsets, gaps=WHITE):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers(base, n):
-    """base**0 ... base**(n-1) modulo 2**64."""
-    x = np.full(n, base, U64)
-    x[:1] = 1
-    return np.cumprod(x, dtype=U64)
+def _byte_values():
+    """A number for each byte at each of the first 64 places of a word."""
+    return mix(np.arange(1, 64 * 256 + 1, dtype=U64) * U64(_BASE))
+
+
+_VALUES = _byte_values()
 
 
 def word_hashes(data, starts, ends):
-    """A 64-bit hash of each word of lower-cased bytes, equal for equal words."""
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * _powers(_BASE, len(data)), out=sums[1:])
-    inverse = _powers(pow(_BASE, -1, 1 << 64), len(data))
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of each word, equal for equal words.
+
+    The sum of a number for each byte and its place. The numbers look random, so
+    words with a regular pattern are as unlikely to meet as any others.
+    """
+    lengths = ends - starts
+    begin = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+    if not len(starts):
+        return np.zeros(0, U64)
+    place = np.arange(begin[-1] + lengths[-1]) - np.repeat(begin, lengths)
+    values = _VALUES[((place & 63) << 8) | data[place + np.repeat(starts, lengths)]]
+    far = np.flatnonzero(place > 63)
+    values[far] *= mix((place[far] >> 6).astype(U64)) | U64(1)
+    return mix(np.add.reduceat(values, begin) + lengths.astype(U64))
 
 
 def shingle_hashes(words, first, k):
