@@ -16,6 +16,7 @@ _PLACES = {
     "op10_url_filters": "urls",
     "op11_dataset_manifest": "dataset_manifest",
     "op12_prefix_trie": "prefix_trie",
+    "op13_substring_dedup": "substrings",
 }
 
 

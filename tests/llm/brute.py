@@ -143,3 +143,21 @@ def trie(conversations):
         out.append((min(members), len(node), min(nodes[node[:-1]]) if node else None, len(members),
                     sum(1 for m in nodes if m and m[:-1] == node), len(leaves), saved, sha(",".join(map(str, ends)))))
     return out
+
+
+def without_repeats(rows, window=13):
+    """(doc_id, n_words, n_removed, digest of the kept words) of (doc_id, text) rows."""
+    lists = [GAP.findall(text or "") for _, text in rows]
+    first = {}
+    for (doc, _), ws in zip(rows, lists):
+        for i in range(len(ws) - window + 1 if doc is not None else 0):
+            key = tuple(ws[i:i + window])
+            first[key] = min(doc, first.get(key, doc))
+    out = []
+    for (doc, _), ws in zip(rows, lists):
+        gone = set()
+        for i in range(len(ws) - window + 1 if doc is not None else 0):
+            if first[tuple(ws[i:i + window])] < doc:
+                gone.update(range(i, i + window))
+        out.append((doc, len(ws), len(gone), sha(" ".join(w for i, w in enumerate(ws) if i not in gone))))
+    return out
