@@ -2,41 +2,44 @@
 
 from pyspark.sql import Window, functions as F
 
+from nodeglass.session import materialise
 
-def resolve_active_column(logs, config, inline=200, bucket=1_000_000):
+
+def resolve_active_column(logs, config, inline=200, stage=materialise):
     """Add ``active_column``: that of the greatest ``time_start`` <= log_id.
 
-    Null before the first start. A config of up to ``inline`` rows becomes one
-    conditional expression, so there is no join at all; a longer one is joined
-    by id bucket and then by range.
+    Null before the first start; of equal starts the greatest column holds. A
+    config of up to ``inline`` rows becomes one conditional expression, so there
+    is no join at all; a longer one is merged with the logs in id order.
     """
     head = config.select("time_start", "active_column").limit(inline + 1).collect()
     if len(head) <= inline:
         pick = F.lit(None).cast("string")
-        for start, column in sorted(head):
+        for start, column in sorted(head, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
             pick = F.when(F.col("log_id") >= start, column).otherwise(pick)
         return logs.withColumn("active_column", pick)
-    return _resolve_by_bucket(logs, config, bucket)
-
-
-def _resolve_by_bucket(logs, config, bucket):
-    in_bucket = lambda c: F.call_function("div", c, F.lit(bucket).cast("long"))
-    upcoming = F.lead("time_start").over(Window.orderBy("time_start"))
-    last_id = logs.agg(F.max("log_id")).first()[0] or 0
-    intervals = config.select("time_start", "active_column", upcoming.alias("until")).filter(
-        F.col("time_start") <= last_id
-    )
-    reach = F.coalesce(F.least(F.col("until") - 1, F.lit(last_id)), F.lit(last_id))
-    spread = intervals.withColumn(
-        "_bucket", F.explode(F.sequence(in_bucket(F.col("time_start")), in_bucket(reach)))
-    )
-    placed = logs.withColumn("_bucket", in_bucket(F.col("log_id")))
-    hit = (
-        (placed["_bucket"] == spread["_bucket"])
-        & (placed["log_id"] >= spread["time_start"])
-        & (F.col("until").isNull() | (placed["log_id"] < F.col("until")))
-    )
-    return placed.join(spread, hit, "left").select(*[placed[c] for c in logs.columns], "active_column")
+    return _resolve_by_merge(logs, config, stage)
+
+
+def _resolve_by_merge(logs, config, stage):
+    """Logs and starts in one id order, cut into ranges.
+
+    Within a range a log takes the last start before it; one that has none takes
+    the last start of the ranges before, of which there is one row per range. The
+    ranges follow the rows, however they are spread over the ids.
+    """
+    starts = config.select(
+        F.col("time_start").cast("long").alias("_at"), F.lit(0).alias("_side"), F.col("active_column").alias("_column"))
+    rows = logs.withColumns({"_at": F.col("log_id").cast("long"), "_side": F.lit(1)})
+    merged = rows.unionByName(starts.where("_at IS NOT NULL"), allowMissingColumns=True)
+    ranged = stage(merged.repartitionByRange("_at").withColumn("_range", F.spark_partition_id()))
+    start = F.when(F.col("_side") == 0, F.struct("_at", F.col("_column").isNotNull().alias("_known"), "_column"))
+    ends = ranged.groupBy("_range").agg(F.max(start).alias("_end"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_range", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy("_range").orderBy("_at", "_side", "_column").rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.withColumn("_own", F.last(start, ignorenulls=True).over(inside)).join(F.broadcast(carried), "_range")
+    return found.where("_side = 1").select(*logs.columns, F.coalesce("_own", "_carried")["_column"].alias("active_column"))
 
 
 def active_version(config, version):

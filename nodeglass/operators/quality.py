@@ -46,11 +46,24 @@ def orphan_node_ids(logs, nodes):
     return unknown_nodes_only(logs.select("node_id").distinct(), nodes)
 
 
+def duplicate_ids(logs, key="log_id"):
+    """One row: how many rows have an id that another row has already.
+
+    Ids are marked in blocks of 64 as the bits of one number. Logs lie in id
+    order, so tasks bring a block down to one row before it moves, and no id is
+    shuffled by itself; a block with fewer bits than rows has repeated ids.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(pmod({key}, 64) AS INT))")
+    blocks = logs.where(F.col(key).isNotNull()).groupBy(F.shiftright(key, 6).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits"))
+    return blocks.agg(F.coalesce(F.sum(F.col("n") - F.bit_count("bits")), F.lit(0)).cast("long").alias("duplicate_log_id"))
+
+
 def quality_report(logs, nodes, mode="step", window=S.WINDOW):
     """One row per check with the number of violations.
 
-    Two scans of the logs: a counting pass, and the id uniqueness, which has to
-    shuffle ids and so is kept apart and narrow.
+    Two scans of the logs: a counting pass, and the id uniqueness, which groups
+    blocks of ids and so is kept apart and narrow.
     """
     bad = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     version = load_version("log_id", mode, window)
@@ -61,9 +74,7 @@ def quality_report(logs, nodes, mode="step", window=S.WINDOW):
         bad(~F.col("http_response_code").isin(KNOWN_CODES)).alias("unexpected_http_code"),
         bad(wrong_column).alias("load_in_inactive_column"),
     )
-    unique = logs.groupBy("log_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_log_id")
-    )
+    unique = duplicate_ids(logs)
     serials = nodes.agg(bad(~F.col("serial_number").startswith(SERIAL_PREFIX)).alias("serial_without_prefix"))
     orphans = orphan_node_ids(logs, nodes).agg(F.count(F.lit(1)).alias("log_node_not_in_registry"))
     long_form = lambda df: df.unpivot([], df.columns, "check_name", "violations")

@@ -90,9 +90,9 @@ class Tables:
         events = ingest.read_log_stream(self.spark, self.sf_dir, schema, name_filter="events.parquet")
         return views.logs_from_events(events)
 
-    def run_ingest(self, source, **options):
+    def run_ingest(self, source, sink=None, **options):
         """Ingest a stream to its end and return the sink."""
-        sink = ingest.Sink(self.scratch("sink"))
+        sink = sink or ingest.Sink(self.scratch("sink"))
         ingest.stream_ingest(source, sink, self.scratch("stream"), **options).awaitTermination()
         return sink
 
@@ -502,6 +502,17 @@ def _(t):
     return asof.resolve_active_column(t.logs, t.config).select("log_id", "active_column")
 
 
+@query("jo8_asof_long_config", """
+SELECT log_id, active_column FROM logs ASOF LEFT JOIN (
+  SELECT log_id AS time_start, concat('column_', (response_time_ms % 7)::VARCHAR) AS active_column FROM logs WHERE log_id % 3 = 1
+) c ON log_id >= time_start""")
+def _(t):
+    """A config that changes with every third log, merged by range."""
+    column = F.concat(F.lit("column_"), (F.col("response_time_ms") % 7).cast("string"))
+    config = t.logs.where("log_id % 3 = 1").select(F.col("log_id").alias("time_start"), column.alias("active_column"))
+    return asof.resolve_active_column(t.logs, config).select("log_id", "active_column")
+
+
 @query("jo9_active_version", """
 SELECT version AS current_version, active_column AS current_column FROM config, top
 ORDER BY CASE WHEN version = (max_id // 5000) % 2 + 1 THEN 0 ELSE 1 END, time_start LIMIT 1""")
@@ -702,6 +713,14 @@ def _(t):
     return quality.quality_report(t.logs, t.nodes)
 
 
+@query("ag20_duplicate_ids", """
+SELECT CAST(count(*) FILTER (WHERE log_id % 97 = 5) + 2 * count(*) FILTER (WHERE log_id % 1000 = 64) AS BIGINT) AS duplicate_log_id FROM logs""")
+def _(t):
+    """Ids that were delivered again, some of them twice."""
+    again = t.logs.where("log_id % 97 = 5"), t.logs.where("log_id % 1000 = 64")
+    return quality.duplicate_ids(t.logs.union(again[0]).union(again[1]).union(again[1]))
+
+
 # Greatest per group ---------------------------------------------------------
 
 @query("wn1_latest_log", "SELECT node_id, log_id, http_response_code, json_status, response_time_ms FROM latest")
@@ -862,6 +881,25 @@ def _(t):
     return stored.union(rejected.select("log_id", "node_id", F.array_join("reasons", "; ")))
 
 
+def _in_batches(logs, batches):
+    """Logs dealt by id to so many batches of consecutive ids."""
+    size = logs.agg(F.max("log_id")).first()[0] // batches + 1
+    place = F.call_function("div", F.col("log_id"), F.lit(size).cast("long"))
+    return [logs.filter(place == i) for i in range(batches)]
+
+
+@query("st2_compacted_batches", f"""
+SELECT {_LOG_COLUMNS}, batch_id, true AS few_parts FROM (
+  SELECT *, log_id // (max_id // 9 + 1) AS batch_id FROM logs, top) l""")
+def _(t):
+    """Nine batches with compaction of every two parts: all rows, few folders."""
+    sink = ingest.Sink(t.scratch("sink"), fan_in=2)
+    for number, batch in enumerate(_in_batches(t.logs, 9)):
+        ingest.ingest_batch(batch, number, sink)
+    parts = [p for p in sink.snapshot(t.spark)["parts"] if p["table"] == "logs"]
+    return sink.read(t.spark, "logs").drop("ingested_at").withColumn("few_parts", F.lit(len(parts) <= 4))
+
+
 @query("st3_assigned_ids", """
 SELECT row_number() OVER (ORDER BY ingested_at, node_id) + 99 AS log_id, node_id, response_time_ms FROM logs""")
 def _(t):
@@ -879,8 +917,17 @@ def _(t):
 
 @query("st5_trailing_window", "SELECT log_id, node_id FROM logs, top WHERE log_id >= greatest(0, max_id - 5000)")
 def _(t):
-    stored = t.run_ingest(t.event_stream()).read(t.spark, "logs")
-    return _ids(windows.trailing(stored, stored))
+    return _ids(t.run_ingest(t.event_stream()).trailing(t.spark))
+
+
+@query("st5_trailing_latency", """
+SELECT node_id, round(avg(response_time_ms), 9) AS avg_rt, CAST(max(response_time_ms) AS BIGINT) AS max_rt,
+       round(quantile_cont(response_time_ms, 0.95), 9) AS p95_rt, count(*) AS log_count
+FROM logs, top WHERE log_id >= greatest(0, max_id - 5000) GROUP BY node_id""")
+def _(t):
+    """From histograms that the ingest keeps for every 2,000 ids."""
+    found = t.run_ingest(t.event_stream(), sink=ingest.Sink(t.scratch("sink"), block=2000)).trailing_latency(t.spark)
+    return _rounded(found, "avg_rt", "p95_rt")
 
 
 @query("st6_rotating_load", """

@@ -2,7 +2,8 @@
 
 Loads are insert-if-absent: rows are reduced to one per key, those already in
 the table are removed with an anti join, and the rest is appended. Repeating a
-load therefore adds nothing.
+load therefore adds nothing. Files are written in key order, so the bounds of the
+keys that are loaded pass by all files that cannot hold one of them.
 """
 
 from pyspark.sql import Observation, functions as F
@@ -24,11 +25,24 @@ def new_rows(rows, target, key):
     return rows.dropDuplicates(key).join(target.select(key), key, "left_anti")
 
 
+def within(target, rows, key):
+    """Rows of ``target`` between the least and the greatest ``key`` of ``rows``.
+
+    The bounds are two numbers, which reach the Parquet filter.
+    """
+    first, last = rows.agg(F.min(key), F.max(key)).first()
+    return target.filter(F.lit(False) if first is None else F.col(key).between(first, last))
+
+
 def append_new(rows, path, key, schema):
-    """Append rows with unseen keys to a Parquet table; returns how many."""
-    target = read_table(rows.sparkSession, path, schema)
-    fresh = new_rows(schemas.conform(rows, schema), target, key)
-    return _write_counted(fresh, lambda df: df.write.mode("append").parquet(path))
+    """Append rows with unseen keys to a Parquet table; returns how many.
+
+    Only files whose range of the first key meets that of ``rows`` are compared.
+    """
+    rows = schemas.conform(rows, schema)
+    target = within(read_table(rows.sparkSession, path, schema), rows, key[0])
+    ordered = new_rows(rows, target, key).repartitionByRange(key[0]).sortWithinPartitions(*key)
+    return _write_counted(ordered, lambda df: df.write.mode("append").parquet(path))
 
 
 def seed_nodes(nodes, path):

@@ -1,65 +1,59 @@
 """Log ingest in micro-batches.
 
-A batch is written to three tables, each in its own ``batch_id=`` folder, and
-then recorded in a ledger. Folders are overwritten, ids continue from the
-previous batch's ledger row, and readers only see batches the ledger holds, so
-a batch that is repeated after a failure leaves the same rows once.
+A batch is written to all tables as parts that nothing lists yet, and one
+snapshot commits them together with the next free id and the running totals
+(``snapshots``). A batch that is repeated after a failure is written anew if it
+was not committed and answered from the ledger if it was, so its rows are there
+once. Full levels of small parts are compacted after the commit.
 """
 
-from dataclasses import dataclass
-
-from pyspark.sql import Observation, Window, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 from nodeglass import schemas, settings as S
 from nodeglass.functions import fallback_load, load_version
 from nodeglass.operators.changes import rotations_of
 from nodeglass.operators.features import with_load
 from nodeglass.operators.forest import anomaly_records, score_logs
+from nodeglass.operators.latency import node_latency, statistics_of_counts
 from nodeglass.operators.numbering import number_rows
 from nodeglass.operators.quality import known_nodes_only, split_rows, unknown_nodes_only
 from nodeglass.operators.windows import window_totals
-from nodeglass.sources.readers import read_table
+from nodeglass.streaming.snapshots import FAN_IN, FULL_ROWS, Store
 
 LEDGER = T.StructType([
-    T.StructField("next_id", T.LongType()),
-    T.StructField("ingested_count", T.LongType()),
-    T.StructField("anomaly_count", T.LongType()),
+    T.StructField(n, T.LongType()) for n in ("batch_id", "next_id", "ingested_count", "anomaly_count", "total_ingested", "total_anomalies")
 ])
 
-_REJECTED = T.StructType(list(schemas.LOGS) + [T.StructField("reasons", T.ArrayType(T.StringType()))])
+_BATCH = [T.StructField("batch_id", T.LongType())]
+_REJECTED = T.StructType([*schemas.LOGS, T.StructField("reasons", T.ArrayType(T.StringType())), *_BATCH])
 _TOTALS = T.StructType([
     T.StructField(n, T.LongType()) for n in ("window_id", "log_count", "first_log_id", "last_log_id")
 ])
+# Logs per id block, node and millisecond; adds up over batches.
+_LATENCY = T.StructType([T.StructField(n, T.LongType()) for n in ("log_id", "node_id", "response_time_ms", "n")])
 _TABLES = {
-    "logs": schemas.LOGS, "anomalies": schemas.ANOMALIES, "rejected": _REJECTED,
-    "window_totals": _TOTALS, "ledger": LEDGER,
+    "logs": T.StructType([*schemas.LOGS, *_BATCH]), "anomalies": T.StructType([*schemas.ANOMALIES, *_BATCH]),
+    "rejected": _REJECTED, "window_totals": _TOTALS, "latency": _LATENCY, "ledger": LEDGER,
 }
 
 
-def _with_batch(schema):
-    return T.StructType(list(schema) + [T.StructField("batch_id", T.LongType())])
+def _add_totals(parts):
+    return parts.groupBy("window_id").agg(
+        F.sum("log_count").alias("log_count"), F.min("first_log_id").alias("first_log_id"), F.max("last_log_id").alias("last_log_id"))
 
 
-@dataclass
-class Sink:
+class Sink(Store):
     """Tables of one ingest stream under ``root``.
 
     The folder belongs to one stream checkpoint: starting the stream over with
-    a new checkpoint needs a new root.
+    a new checkpoint needs a new root. With ``block``, the latencies of every
+    ``block`` ids are kept as one histogram, which pays where a block holds many
+    logs for each node and millisecond.
     """
 
-    root: str
-
-    def part(self, table, batch_id):
-        return f"{self.root}/{table}/batch_id={batch_id}"
-
-    def write(self, df, table, batch_id):
-        """Overwrite the batch's folder; returns rows written."""
-        seen = Observation()
-        schemas.conform(df, _TABLES[table]).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(
-            self.part(table, batch_id)
-        )
-        return seen.get["rows"]
+    def __init__(self, root, fan_in=FAN_IN, full_rows=FULL_ROWS, block=None):
+        super().__init__(root, _TABLES, {"window_totals": _add_totals}, fan_in, full_rows)
+        self.block = block
 
     def stage(self, df):
         """Write rows of the batch in hand and read them back.
@@ -70,23 +64,37 @@ class Sink:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def read(self, spark, table):
-        """Rows of committed batches."""
-        ledger = read_table(spark, f"{self.root}/ledger", _with_batch(LEDGER))
-        last = ledger.agg(F.coalesce(F.max("batch_id"), F.lit(-1).cast("long"))).first()[0]
-        return read_table(spark, f"{self.root}/{table}", _with_batch(_TABLES[table])).filter(
-            F.col("batch_id") <= last
-        )
-
-    def next_id(self, spark, batch_id, first_id):
-        """First free id, from the batch before."""
-        if batch_id == 0:
-            return first_id
-        before = read_table(spark, self.part("ledger", batch_id - 1), LEDGER).first()
-        if before is None:
-            ledger = read_table(spark, f"{self.root}/ledger", _with_batch(LEDGER))
-            before = ledger.filter(F.col("batch_id") < batch_id).agg(F.max("next_id").alias("next_id")).first()
-        return first_id if before["next_id"] is None else before["next_id"]
+    def ledger_row(self, spark, batch_id):
+        """(next_id, ingested_count, anomaly_count) of a committed batch."""
+        found = self.read(spark, "ledger").filter(F.col("batch_id") == batch_id).first()
+        return found["next_id"], found["ingested_count"], found["anomaly_count"]
+
+    def trailing(self, spark, window=S.WINDOW, table="logs"):
+        """Rows of the trailing window; only the parts that reach into it are opened."""
+        now = self.snapshot(spark)
+        return self.read(spark, table, from_id=max(0, self.max_id(spark, "logs", now) - window), snapshot=now)
+
+    def trailing_latency(self, spark, window=S.WINDOW):
+        """Latency statistics per node over the trailing window.
+
+        Blocks of ids that lie wholly in the window come from their stored
+        histograms, the cut one at its start from the logs.
+        """
+        if self.block is None:
+            return node_latency(self.trailing(spark, window))
+        now = self.snapshot(spark)
+        start = max(0, self.max_id(spark, "logs", now) - window)
+        whole = -(-start // self.block) * self.block
+        cut = latency_blocks(self.read(spark, "logs", from_id=start, to_id=whole - 1, snapshot=now), self.block)
+        counts = self.read(spark, "latency", from_id=whole, snapshot=now).unionByName(cut)
+        return statistics_of_counts(counts.groupBy("node_id", "response_time_ms").agg(F.sum("n").alias("n")))
+
+
+def latency_blocks(logs, block):
+    """Logs per block of ids (named by its first id), node and millisecond."""
+    first = F.call_function("div", F.col("log_id"), F.lit(block).cast("long")) * block
+    return logs.groupBy(first.alias("log_id"), "node_id", F.col("response_time_ms").cast("long").alias("response_time_ms")).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def ingest_batch(batch, batch_id, sink, nodes=None, forest=None, order_by=None, first_id=0,
@@ -98,6 +106,10 @@ def ingest_batch(batch, batch_id, sink, nodes=None, forest=None, order_by=None,
     single requests takes them: the first one present, else the constant.
     """
     spark = batch.sparkSession
+    before = sink.snapshot(spark)
+    if batch_id <= before["last_batch"]:
+        return sink.ledger_row(spark, batch_id)
+    number = F.lit(batch_id).cast("long")
     batch = batch.persist()
     try:
         valid, rejected = split_rows(batch)
@@ -105,27 +117,33 @@ def ingest_batch(batch, batch_id, sink, nodes=None, forest=None, order_by=None,
             unknown = unknown_nodes_only(valid, nodes).withColumn("reasons", F.array(F.lit("unknown node")))
             rejected = rejected.unionByName(unknown)
             valid = known_nodes_only(valid, nodes)
-        start = sink.next_id(spark, batch_id, first_id)
+        start = before["state"].get("next_id", first_id)
         own_ids = "log_id" in batch.columns
         if not own_ids:
             valid = number_rows(valid, "log_id", start, order_by, sink.stage)
-        sink.write(rejected, "rejected", batch_id)
-        ingested = sink.write(valid, "logs", batch_id)
+        parts = [sink.write(rejected.withColumn("batch_id", number), "rejected", batch_id)]
+        parts.append(sink.write(valid.withColumn("batch_id", number), "logs", batch_id))
     finally:
         batch.unpersist()
     # What follows reads the stored batch, so scores and ids belong together.
-    stored = read_table(spark, sink.part("logs", batch_id), schemas.LOGS)
-    flagged = 0
+    stored, ingested, flagged = sink.read_part(spark, parts[1]), parts[1]["rows"], 0
     if forest is not None:
         scored = score_logs(with_load(stored, "coalesce"), forest, fill=S.LOAD_FILL)
-        flagged = sink.write(anomaly_records(scored), "anomalies", batch_id)
-    sink.write(window_totals(stored, window), "window_totals", batch_id)
+        parts.append(sink.write(anomaly_records(scored).withColumn("batch_id", number), "anomalies", batch_id))
+        flagged = parts[-1]["rows"]
+    parts.append(sink.write(window_totals(stored, window), "window_totals", batch_id))
+    if sink.block is not None:
+        parts.append(sink.write(latency_blocks(stored, sink.block), "latency", batch_id))
     after = start + ingested
     if own_ids and ingested:
-        after = max(start, stored.agg(F.max("log_id")).first()[0] + 1)
-    row = (after, ingested, flagged)
-    sink.write(spark.createDataFrame([row], LEDGER).coalesce(1), "ledger", batch_id)
-    return row
+        after = max(start, parts[1]["max_id"] + 1)
+    totals = {"total_ingested": before["state"].get("total_ingested", 0) + ingested,
+              "total_anomalies": before["state"].get("total_anomalies", 0) + flagged}
+    row = spark.createDataFrame([(batch_id, after, ingested, flagged, *totals.values())], LEDGER)
+    parts.append(sink.write(row.coalesce(1), "ledger", batch_id))
+    sink.commit(spark, before, parts, last_batch=batch_id, state={"next_id": after, **totals})
+    sink.compact(spark)
+    return after, ingested, flagged
 
 
 def stream_ingest(source, sink, checkpoint, trigger=None, **options):
@@ -169,11 +187,7 @@ def drop_repeats(stream, delay="10 minutes"):
 
 def committed_window_totals(spark, sink):
     """Logs per tumbling window over all committed batches."""
-    return sink.read(spark, "window_totals").groupBy("window_id").agg(
-        F.sum("log_count").alias("log_count"),
-        F.min("first_log_id").alias("first_log_id"),
-        F.max("last_log_id").alias("last_log_id"),
-    )
+    return sink.read(spark, "window_totals")
 
 
 def committed_rotations(spark, sink, window=S.WINDOW):
@@ -188,9 +202,8 @@ def current_window(spark, sink):
 
 
 def batch_anomaly_totals(spark, sink):
-    """Anomalies so far, per committed batch."""
-    upto = F.sum("anomaly_count").over(Window.orderBy("batch_id"))
-    return sink.read(spark, "ledger").select("batch_id", upto.alias("total_anomalies"))
+    """Anomalies so far, per committed batch; each ledger row carries its total."""
+    return sink.read(spark, "ledger").select("batch_id", "total_anomalies")
 
 
 def with_rotating_load(stream, mode="cyclic", window=S.WINDOW):

@@ -197,13 +197,37 @@ def test_windows_at_the_edges(make_logs):
     assert windows.tumbling(empty, empty).count() == 0
 
 
-def test_asof_by_bucket_equals_inline(spark):
-    logs = spark.range(0, 400).select(F.col("id").alias("log_id"))
-    config = spark.createDataFrame([(5, "a"), (17, "b"), (18, "c"), (120, "d"), (900, "e")], "time_start long, active_column string")
-    inline = rows_of(asof.resolve_active_column(logs, config), "log_id", "active_column")
-    assert inline[4] == (4, None) and inline[17] == (17, "b") and inline[399] == (399, "d")
-    for bucket in (1, 16, 1000):
-        assert rows_of(asof.resolve_active_column(logs, config, 0, bucket), "log_id", "active_column") == inline
+@pytest.mark.parametrize("parts", [1, 5])
+def test_asof_by_merge_equals_inline(spark, parts):
+    logs = spark.range(0, 400).select(F.col("id").alias("log_id"), (F.col("id") % 3).alias("x")).repartition(parts)
+    starts = [(5, "a"), (17, "b"), (18, "c"), (18, "a"), (120, "d"), (130, None), (150, "f"), (900, "e")]
+    config = spark.createDataFrame(starts, "time_start long, active_column string")
+    inline = rows_of(asof.resolve_active_column(logs, config), "log_id", "x", "active_column")
+    assert inline[4] == (4, 1, None) and inline[18] == (18, 0, "c") and inline[140] == (140, 2, None) and inline[399] == (399, 0, "f")
+    assert rows_of(asof.resolve_active_column(logs, config, inline=0), "log_id", "x", "active_column") == inline
+    none = config.where("false")
+    assert rows_of(asof.resolve_active_column(logs, none, inline=-1), "active_column") == [(None,)] * 400
+
+
+def test_asof_of_a_long_config(spark):
+    """A start at every other id, dense at one end; each log takes the last one."""
+    logs = spark.range(0, 60_000, 1, 6).select((F.col("id") * 50).alias("log_id"))
+    config = spark.range(0, 200_000, 1, 6).select(
+        F.when(F.col("id") < 150_000, F.col("id")).otherwise(F.col("id") * 10).alias("time_start")).withColumn(
+        "active_column", F.col("time_start").cast("string"))
+    found = asof.resolve_active_column(logs, config)
+    at = F.col("log_id")
+    want = F.when(at < 150_000, at).when(at < 1_500_000, F.lit(149_999)).otherwise(F.least(at - at % 10, F.lit(1_999_990)))
+    assert found.count() == 60_000 and found.where(~F.col("active_column").eqNullSafe(want.cast("string"))).isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+
+
+def test_duplicate_ids(spark):
+    ids = [-65, -64, -1, 0, 63, 64, 64, 64, 127, 128, 1 << 62, 1 << 62, None, None]
+    logs = spark.createDataFrame([(i,) for i in ids], "log_id long").repartition(4)
+    assert quality.duplicate_ids(logs).first()[0] == 3
+    assert quality.duplicate_ids(logs.where("false")).first()[0] == 0
 
 
 def test_active_version_falls_back_to_the_first(spark):
