@@ -12,8 +12,9 @@ the likelihoods they give a text, on two scales of expression.
   decide about a rare word, and a word never met says nothing.
 
 Both ratios, normalised by length over the whole text, over its most toxic
-stretch and over its strong places, go into a logistic scale learned on training
-documents that the counts leave out. Sequences are counted under a number below ``BUCKETS``, words under
+stretch and over its strong places, go into a logistic scale. All training
+documents are counted; those that the scale is learned on are scored as if they
+had not been, by taking their own counts out first. Sequences are counted under a number below ``BUCKETS``, words under
 two numbers, of whose counts the lesser holds: the models have the same bounded
 size whatever the corpus is, which makes them safe to broadcast.
 """
@@ -39,7 +40,7 @@ CHUNK = 1 << 14  # buckets that a task packs together
 WINDOW = 64  # bytes of a stretch
 WINDOW_WORDS = 8
 STRONG = 2.0  # log ratio beyond which a byte or word counts as strong evidence
-SCALE_ROWS = 20_000  # documents the logistic scale is learned from, at most
+SCALE_ROWS = 5_000  # documents the logistic scale is learned from, at most
 FLUSH_ROWS = 300_000  # counts a task holds before it hands them on
 _CLASSES = ("toxic", "ordinary")
 _FEATURES = ["_byte_mean", "_byte_peak", "_byte_strong", "_word_mean", "_word_peak", "_word_strong"]
@@ -203,7 +204,8 @@ def fit(labelled):
         total, kinds = dense[f"{k} contexts"][:, :2], dense[f"{k} contexts"][:, 2:]
         some = np.maximum(total, 1)
         rest = np.where(total > 0, np.array([cuts[k, c] for c in _CLASSES], np.float32) * kinds / some, 1)
-        longer[k] = dense[f"{k}"], np.column_stack((np.where(total > 0, 1 / some, 0), rest)).astype(np.float32)
+        longer[k] = (dense[f"{k}"], np.column_stack((np.where(total > 0, 1 / some, 0), rest)).astype(np.float32),
+                     np.array([cuts[k, c] for c in _CLASSES], np.float32))
     words_of = [dense[f"words {i}"] for i in range(len(WORD_BUCKETS))]
     share = (words_of[0].sum(axis=0, dtype=np.float64) + 1) / (words_of[0].sum(dtype=np.float64) + 2)
     return shared, longer, (words_of, np.array([cuts["words", c] for c in _CLASSES]), share)
@@ -224,39 +226,102 @@ def _discounts(tables):
     return out
 
 
-def byte_ratios(model, data, offsets):
-    """Log of toxic over ordinary probability for each byte of a block."""
+def _shared_rows(text, numbers):
+    """For each row the number of its group of equal (text, number), and a row of each group."""
+    order = np.lexsort((numbers, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (numbers[order][1:] != numbers[order][:-1]) | (text[order][1:] != text[order][:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
+
+
+def _without_own(tables, full, before, text, side):
+    """Discounted counts and context weights per byte and order, with what each
+    text itself has added to its class taken out.
+
+    At the highest order that is its occurrences; below, the sequences of the
+    order above that are gone with it. ``side`` is the class of each byte's text.
+    """
+    out, rows = {}, np.arange(len(full))
+    lost = np.ones(len(full))  # per byte: what its sequence takes from the count
+    for k in sorted(tables, reverse=True):
+        counts, contexts, cut = tables[k]
+        sequence = full & np.uint64((1 << 8 * k) - 1)
+        own = counts[(sequence % np.uint64(BUCKETS[k])).astype(np.int64)].astype(np.float64)
+        context = before & np.uint64((1 << 8 * (k - 1)) - 1)
+        around = contexts[(context % np.uint64(BUCKETS[k - 1])).astype(np.int64)].astype(np.float64)
+        group, first = _shared_rows(text, sequence)
+        taken = np.bincount(group, lost)
+        value, less = own[rows, side], cut[side]
+        left = np.where(value > 0, value + less, 0) - taken[group]
+        own[rows, side] = np.maximum(left - less, 0)
+        gone = (value > 0) & (left < 0.5)
+        of_context, _ = _shared_rows(text, context)
+        total = np.where(around[rows, side] > 0, 1 / np.maximum(around[rows, side], 1e-12), 0)
+        kinds = around[rows, 2 + side] * total / np.maximum(less, 1e-9)
+        once = np.zeros(len(full))
+        once[first] = 1  # each of the text's sequences once
+        total = total - np.bincount(of_context, once * taken[group])[of_context]
+        kinds = kinds - np.bincount(of_context, once * gone)[of_context]
+        seen = total > 0.5
+        around[rows, side] = np.where(seen, 1 / np.maximum(total, 0.5), 0)
+        around[rows, 2 + side] = np.where(seen, np.clip(less * kinds / np.maximum(total, 0.5), 1e-6, 1), 1)
+        out[k], lost = (own, around), once * gone
+    return out
+
+
+def byte_ratios(model, data, offsets, toxic=None):
+    """Log of toxic over ordinary probability for each byte of a block.
+
+    ``toxic``: whether each text is, where the texts' own counts are to be left out.
+    """
     shared, tables, _ = model
     padded, first, lengths = _padded(data, offsets)
     places = _of_texts(first, lengths)
-    full = _sequences(padded, ORDER)
-    p = np.repeat(shared[(full[places] & np.uint64(0xFFFF)).astype(np.int64)][:, None], 2, axis=1)
+    sequences = _sequences(padded, ORDER)
+    full, before = sequences[places], sequences[places - 1]
+    adjusted = None
+    if toxic is not None:
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        adjusted = _without_own(tables, full, before, text, np.where(toxic, 0, 1)[text])
+    p = np.repeat(shared[(full & np.uint64(0xFFFF)).astype(np.int64)][:, None], 2, axis=1)
     for k in sorted(tables):
-        counts, contexts = tables[k]
-        own = (full[places] & np.uint64((1 << 8 * k) - 1)) % np.uint64(BUCKETS[k])
-        before = (full[places - 1] & np.uint64((1 << 8 * (k - 1)) - 1)) % np.uint64(BUCKETS[k - 1])
-        around = contexts[before.astype(np.int64)]
-        p = counts[own.astype(np.int64)] * around[:, :2] + around[:, 2:] * p
+        if adjusted:
+            own, around = adjusted[k]
+        else:
+            counts, contexts, _ = tables[k]
+            own = counts[((full & np.uint64((1 << 8 * k) - 1)) % np.uint64(BUCKETS[k])).astype(np.int64)]
+            around = contexts[((before & np.uint64((1 << 8 * (k - 1)) - 1)) % np.uint64(BUCKETS[k - 1])).astype(np.int64)]
+        p = own * around[:, :2] + around[:, 2:] * p
     return np.log(p[:, 0]) - np.log(p[:, 1]), offsets
 
 
-def word_ratios(model, data, offsets):
+def word_ratios(model, data, offsets, toxic=None):
     """The same for each word."""
     numbers, first = _word_numbers(data, offsets)
     tables, cut, share = model[2]
     counts = np.minimum(*(x[(numbers % np.uint64(len(x))).astype(np.int64)] for x in tables)).astype(np.float64)
+    if toxic is not None:
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        group, _ = _shared_rows(text, numbers)
+        rows, side = np.arange(len(numbers)), np.where(toxic, 0, 1)[text]
+        counts[rows, side] = np.maximum(counts[rows, side] - np.bincount(group)[group], 0) if len(group) else 0
     smoothed = np.maximum(counts - cut, 0) + (cut * (counts > 0)).sum(axis=1, keepdims=True) * share
     ratio = np.log(np.maximum(smoothed, 1e-9) / share)
     return np.where(counts.any(axis=1), ratio[:, 0] - ratio[:, 1], 0), first
 
 
-def features(model, column):
+def features(model, column, toxic=None):
     """For each text and both kinds of ratios: the mean, the highest sum over a
-    window, and the log of what exceeds STRONG by the root of the length."""
+    window, and the log of what exceeds STRONG by the root of the length.
+
+    ``toxic``: the classes of the texts, to leave their own counts out.
+    """
     out = np.zeros((len(column), len(_FEATURES)))
     for at, data, offsets in words.blocks(column):
         for k, (of, window) in enumerate(((byte_ratios, WINDOW), (word_ratios, WINDOW_WORDS))):
-            ratios, begin = of(model, data, offsets)
+            ratios, begin = of(model, data, offsets, None if toxic is None else toxic[at:at + len(offsets) - 1])
             lengths = np.diff(begin)
             sums = np.concatenate(([0.0], np.cumsum(ratios, dtype=np.float64)))
             ends = np.arange(1, len(sums))
@@ -270,12 +335,13 @@ def features(model, column):
     return out
 
 
-def _with_features(docs, model, text, names=_FEATURES):
+def _with_features(docs, model, text, names=_FEATURES, label=None):
     columns, place = docs.columns, docs.columns.index(text)
 
     def add(batches):
         for batch in batches:
-            found = features(model.value, batch.column(place))
+            toxic = None if label is None else batch[label].to_numpy() == 1
+            found = features(model.value, batch.column(place), toxic)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found.T.copy())], names=[*columns, *names])
 
     return map_batches(docs, add, T.StructType([*docs.schema, *(T.StructField(c, T.DoubleType()) for c in names)]))
@@ -284,19 +350,18 @@ def _with_features(docs, model, text, names=_FEATURES):
 def score_toxicity(docs, train, key="doc_id", text="text", column="score"):
     """``docs`` with ``column``, 0 to 1, higher for likelier toxic texts.
 
-    ``train``: documents (key, text, _label); a quarter by hash of the key, but at
-    most about ``SCALE_ROWS``, is kept for the scale, and the counts come from all
-    others. Null and empty texts have no evidence and get the
+    ``train``: documents (key, text, _label). All are counted; about
+    ``SCALE_ROWS`` of them, by hash of the key, or all of fewer teach the scale,
+    each scored without its own counts. Null and empty texts have no evidence and get the
     score of a ratio of 0. Without training documents of both classes on the
     scale a ratio of 10 over a stretch of words scores one half. A column of that name is
     replaced; rows come out as often as they came in.
     """
     spark = docs.sparkSession
     train = train.select(F.col(key).alias("key"), F.col(text).alias("text"), "_label")
-    for_scale = F.pmod(F.xxhash64("key"), F.lit(max(4 * SCALE_ROWS, train.count()))) < SCALE_ROWS
-    model = spark.sparkContext.broadcast(fit(train.where(~for_scale)))
-    scale = train.where(for_scale)
-    rows = _with_features(scale.select("_label", "text"), model, "text").drop("text").toPandas()
+    model = spark.sparkContext.broadcast(fit(train))
+    scale = train.where(F.pmod(F.xxhash64("key"), F.lit(max(SCALE_ROWS, train.count()))) < SCALE_ROWS)
+    rows = _with_features(scale.select("_label", "text"), model, "text", label="_label").drop("text").toPandas()
     x, y = rows[_FEATURES].to_numpy(), rows["_label"].to_numpy()
     weights = fit_logistic(x, y) if 0 < y.sum() < len(y) else np.array([0.0, 0.0, 0.0, 0.0, 1.0, 0.0, -10.0])
     docs = docs.drop(column)

@@ -85,12 +85,28 @@ def test_toxicity_sees_words_not_partitions(spark, known):
     assert scores[0] == pytest.approx(scores[1]) and scores[0][1] > 0.5 > scores[0][2]
 
 
-def test_counts_cover_all_but_the_scale_sample(spark, known, monkeypatch):
-    counted, fit = [], toxicity.fit
-    monkeypatch.setattr(toxicity, "SCALE_ROWS", 10)
+def test_counts_cover_all_and_the_scale_a_sample(spark, known, monkeypatch):
+    counted, taught, fit, scale = [], [], toxicity.fit, toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "SCALE_ROWS", 100)
     monkeypatch.setattr(toxicity, "fit", lambda rows: counted.append(rows.count()) or fit(rows))
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y: taught.append(len(y)) or scale(x, y))
     toxicity.score_toxicity(spark.createDataFrame([(1, "w1")], "doc_id long, text string"), known)
-    assert 375 < counted[0] < 400
+    assert counted == [400] and 60 < taught[0] < 140
+
+
+def test_a_text_is_scored_without_its_own_counts(spark, monkeypatch):
+    """Leaving a text's counts out gives the ratios of a model that never saw it."""
+    texts = [("abab cab bad", 1), ("bb ab", 0), ("cabbage bad", 0), ("bad cab ab", 1), ("dab bad dab", 1)]
+    discounts = toxicity._discounts
+    monkeypatch.setattr(toxicity, "_discounts", lambda tables: dict.fromkeys(discounts(tables), 0.5))
+    whole = toxicity.fit(spark.createDataFrame(texts, "text string, _label int"))
+    for i, (text, label) in enumerate(texts):
+        rest = toxicity.fit(spark.createDataFrame(texts[:i] + texts[i + 1:], "text string, _label int"))
+        rest = whole[0], rest[1], (rest[2][0], *whole[2][1:])  # what both classes share stays
+        (_, data, offsets), = words.blocks(pa.array([text]))
+        for ratios in (toxicity.word_ratios, toxicity.byte_ratios):
+            got, want = ratios(whole, data, offsets, np.array([label == 1]))[0], ratios(rest, data, offsets)[0]
+            assert got == pytest.approx(want, abs=1e-4)
 
 
 def test_byte_model_by_hand(spark):
@@ -160,3 +176,34 @@ def test_logistic_scale():
     x = rng.normal(size=(4000, 2))
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(int)
     assert labelled.fit_logistic(x, y, penalty=0).tolist() == pytest.approx([2, -1, 0.5], abs=0.25)
+
+
+def test_quality_training_equals_dense_matrices(monkeypatch):
+    """The same steps on whole vectors of features, most of them 0."""
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["good", "fine", "bad", "poor", "x y"], rng.integers(0, 12))) for _ in range(25)]
+    labels = np.array([int("good" in t) for t in texts])
+    size = 1 << quality.BUCKET_BITS
+    bags = list(quality._bags(pa.array(texts)))
+    used = np.unique(np.concatenate([b for b, _ in bags]))
+    x = np.zeros((len(texts), len(used)))
+    for i, (buckets, shares) in enumerate(bags):
+        x[i, np.searchsorted(used, buckets)] = shares
+        assert not len(buckets) or shares.sum() == pytest.approx(1 if len(texts[i]) >= 3 else 0.5)
+    rng = np.random.default_rng(7)
+    v = rng.uniform(-1 / quality.DIMENSIONS, 1 / quality.DIMENSIONS, (size, quality.DIMENSIONS))[used]
+    layer, constant, done = np.zeros((2, quality.DIMENSIONS)), np.zeros(2), 0
+    for _ in range(2):
+        for i in rng.permutation(len(texts)):
+            mean = x[i] @ v
+            z = np.exp(layer @ mean + constant)
+            error = z / z.sum() - np.eye(2)[labels[i]]
+            rate = quality.RATE * (1 - done / (2 * len(texts)))
+            slope = np.outer(x[i] * np.sqrt((x[i] > 0).sum()), error @ layer)
+            layer = layer - rate * np.outer(error, mean)
+            constant = constant - rate * 0.1 * error
+            v = v - rate * slope
+            done += 1
+    odds, offset = quality.train(texts, labels)
+    assert odds[used] == pytest.approx(v @ (layer[1] - layer[0]), abs=1e-5) and offset == pytest.approx(constant[1] - constant[0])
