@@ -49,9 +49,9 @@ def contamination(texts, items, percent=80, k=5):
     """Pairs (text, item) with a window of the item's size that is similar enough."""
     found = set()
     for t, text in enumerate(texts):
-        own = shingles(text, k)
         for i, item in enumerate(items):
             wanted = shingles(item, k)
+            own = shingles(text, min(k, len(words(item)) or 1))
             if not set(own) & set(wanted):
                 continue
             counts = Counter(wanted)
