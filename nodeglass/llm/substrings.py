@@ -3,19 +3,18 @@
 A window is a run of ``WINDOW`` words. Its anchor is the least hash of the
 ``SEED``-word runs in it, which equal windows share, so passages can meet only
 under anchors that several documents have. Around those, documents are cut into
-pieces: consecutive windows with the same anchor. Equal pieces become one, and
-pieces are dealt to shards by their anchor.
-
-Each shard builds an FM-index of its pieces: the Burrows-Wheeler transform of
-their words in a wavelet matrix of packed bits. The pieces stream through it
-from right to left. Backward search extends the match by one word, or falls back
-to shorter matches where there is none, which gives the matching statistics up
-to ``WINDOW``; at that length the interval of the index says which document
+pieces: consecutive windows with the same anchor, which are dealt to shards by it.
+
+Each shard builds an FM-index of its different pieces: the Burrows-Wheeler
+transform of their words in a wavelet matrix of packed bits. The pieces stream
+through it from right to left. Backward search extends the match by one word, or
+falls back to shorter matches where there is none, which gives the matching
+statistics up to ``WINDOW``; at that length the interval of the index says which document
 has the window first. Documents with a greater id lose the words it covers.
 
-Nothing is left out: an anchor with more than ``HOT_PIECES`` different pieces
-(a passage with many different surroundings) has its pieces cut into single
-windows, which are made distinct and dealt by their own digest.
+Nothing is left out: an anchor with more than ``HOT_PIECES`` pieces (a passage of
+many documents) has them cut into single windows, which are made distinct before
+they move, dealt by their own digest and joined back.
 
 Odd rows: null texts have no words; documents with a null id neither lose words
 nor take any from others; rows that share an id don't take words from each
@@ -27,17 +26,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from nodeglass.llm import words
-from nodeglass.llm.tables import map_batches, stage, table
+from nodeglass.llm.tables import map_batches, release, stage, table
 from nodeglass.operators.skew import checked_broadcast
+from nodeglass.session import staged
 
 WINDOW = 13
 SEED = 5
 MOST_WINDOWS = 32  # of a piece
-HOT_PIECES = 2_000
-SHARD_WORDS = 200_000
+HOT_PIECES = 50_000  # pieces of one anchor that a task takes, some 8 MB
+SHARD_WORDS = 400_000
 BROADCAST_BYTES = 32 << 20
 
 U64 = np.uint64
@@ -98,47 +99,40 @@ def anchors(docs, window=WINDOW, seed=SEED):
     return map_batches(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), run, "key long, doc_id long")
 
 
-def _name(piece):
-    return hashlib.blake2b(piece, digest_size=16).digest()
-
-
-_PIECES = "id binary, key long, piece binary, doc_id long, h long, start int, windows int"
-
-
-def _piece_batch(rows):
-    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    names = [part.split()[0] for part in _PIECES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+_PIECES = "key long, piece binary, doc_id long, h long, start int, windows int"
+_KINDS = {"key": pa.int64(), "piece": pa.binary(), "doc_id": pa.int64(), "h": pa.int64(), "start": pa.int32(), "windows": pa.int32()}
 
 
 def pieces(docs, window=WINDOW, seed=SEED):
     """Pieces of ``docs`` (doc_id, h, text, keys) whose anchors are among ``keys``."""
     def run(batches):
         for batch in batches:
-            ids, hs = batch["doc_id"].to_pylist(), batch["h"].to_pylist()
+            ids, hs = batch["doc_id"].to_numpy(), batch["h"].to_numpy()
             keys = batch["keys"]
             for row, data, offsets in words.blocks(batch["text"]):
                 starts, ends, first = words.word_spans(data, offsets)
                 text, start, windows, key = _anchors(words.word_hashes(data, starts, ends), first, window, seed)
-                spaced, places = _spaced(data, starts, ends)
-                spaced, rows = spaced.tobytes(), []
+                hit = np.zeros(len(text), bool)
                 edges = np.searchsorted(text, np.arange(len(offsets)))
-                for t in range(len(offsets) - 1):
-                    a, b = edges[t], edges[t + 1]
-                    hit = a + np.flatnonzero(np.isin(key[a:b], keys[row + t].values.to_numpy()))
-                    base = first[t] + start[hit]
-                    for k, s, n, lo, hi in zip(key[hit].tolist(), start[hit].tolist(), windows[hit].tolist(),
-                                               places[base].tolist(), places[base + windows[hit] + window - 1].tolist()):
-                        piece = spaced[lo:hi - 1]
-                        rows.append((_name(piece), k, piece, ids[row + t], hs[row + t], s, n))
-                if rows:
-                    yield _piece_batch(rows)
+                for t, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                    hit[a:b] = np.isin(key[a:b], keys[row + t].values.to_numpy())
+                text, start, windows, key = text[hit], start[hit], windows[hit], key[hit]
+                if not len(text):
+                    continue
+                spaced, places = _spaced(data, starts, ends)
+                spaced, base = spaced.tobytes(), first[text] + start
+                found = [spaced[a:b] for a, b in zip(places[base].tolist(), (places[base + windows + window - 1] - 1).tolist())]
+                columns = [key, found, ids[row + text], hs[row + text], start, windows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS.values())], list(_KINDS))
 
     return map_batches(docs, run, _PIECES)
 
 
+_SINGLE = "id binary, piece binary, doc_id long, h long, start int"
+
+
 def _single_windows(hot, window=WINDOW):
-    """Pieces cut into their windows."""
+    """Pieces cut into their windows, each named by a digest."""
     def run(batches):
         for batch in batches:
             rows = []
@@ -146,11 +140,12 @@ def _single_windows(hot, window=WINDOW):
                 ws = r["piece"].split(b" ")
                 for i in range(r["windows"]):
                     piece = b" ".join(ws[i:i + window])
-                    rows.append((_name(piece), r["key"], piece, r["doc_id"], r["h"], r["start"] + i, 1))
+                    rows.append((hashlib.blake2b(piece, digest_size=16).digest(), piece, r["doc_id"], r["h"], r["start"] + i))
             if rows:
-                yield _piece_batch(rows)
+                kinds = [pa.binary(), *(_KINDS[c] for c in ("piece", "doc_id", "h", "start"))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "piece", "doc_id", "h", "start"])
 
-    return map_batches(hot, run, _PIECES)
+    return map_batches(hot, run, _SINGLE)
 
 
 # The index
@@ -279,10 +274,14 @@ class FmIndex:
 
 
 def first_owners(texts, owners, depth=WINDOW):
-    """For each text (words joined by spaces) the least owner of each of its windows."""
-    lists = [t.split(b" ") for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    names = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    """For each text (words joined by spaces) the least owner of each of its windows.
+
+    Returns all windows' owners and where each text's begin.
+    """
+    texts = pa.array(texts, pa.binary())
+    lists = pc.split_pattern(texts, pattern=b" ")
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    names = lists.values.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
     begin = np.concatenate(([0], np.cumsum(sizes)))
     symbols = np.zeros(len(names) + len(sizes), np.int64)
     symbols[np.arange(len(names)) + np.repeat(np.arange(len(sizes)), sizes)] = names
@@ -293,24 +292,44 @@ def first_owners(texts, owners, depth=WINDOW):
     least = np.zeros(len(groups), np.int64)
     least[heads] = np.minimum.reduceat(owner, heads)
     lengths, lows = index.matching_statistics(names, begin)
-    least = least[lows]
-    return [least[a:a + n - depth + 1] for a, n in zip(begin[:-1], sizes)]
+    counts = np.maximum(sizes - depth + 1, 0)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    at = np.arange(starts[-1]) + np.repeat(begin[:-1] - starts[:-1], counts)
+    assert (lengths[at] == depth).all()  # each window finds itself
+    return least[lows[at]], starts
 
 
 def _search(shard):
-    """Pieces of a shard some of whose windows have an earlier owner than the last of theirs."""
-    found = first_owners(shard["piece"].to_pylist(), shard["first"].to_numpy())
-    keep = [i for i, (f, last) in enumerate(zip(found, shard["last"].to_pylist())) if len(f) and f.min() < last]
-    return pa.table({"id": shard["id"].take(pa.array(keep, pa.int64())),
-                     "firsts": pa.array([found[i].tolist() for i in keep], pa.list_(pa.int64()))})
+    """(doc_id, h, starts): windows of the shard's pieces that an earlier document has."""
+    coded = shard["piece"].combine_chunks().dictionary_encode()
+    code, doc = coded.indices.to_numpy().astype(np.int64), shard["doc_id"].to_numpy()
+    owners = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+    np.minimum.at(owners, code, doc)
+    firsts, begin = first_owners(coded.dictionary, owners)
+    counts = np.diff(begin)[code]
+    edges = np.concatenate(([0], np.cumsum(counts)))
+    inside = np.arange(edges[-1]) - np.repeat(edges[:-1], counts)
+    lost = firsts[inside + np.repeat(begin[code], counts)] < np.repeat(doc, counts)
+    starts = (inside + np.repeat(shard["start"].to_numpy().astype(np.int64), counts))[lost]
+    which = np.repeat(np.arange(len(code)), counts)[lost]
+    some, first = np.unique(which, return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(starts)), pa.int32()), pa.array(starts, pa.int32()))
+    return pa.table({"doc_id": shard["doc_id"].take(pa.array(some)), "h": shard["h"].take(pa.array(some)), "starts": lists})
+
+
+def _search_single(shard):
+    """(id, first): distinct windows that have an earlier owner than their last."""
+    firsts, _ = first_owners(shard["piece"].combine_chunks(), shard["first"].to_numpy())
+    again = pa.array(firsts < shard["last"].to_numpy())
+    return pa.table({"id": shard["id"].filter(again), "first": pa.chunked_array([pa.array(firsts)]).filter(again)})
 
 
 # The operator
 
-def _bounded(df, entries, bytes_each):
-    """``df`` (written) marked for broadcast if its ``entries`` make few bytes."""
-    n, rows = df.agg(F.sum(F.size(entries)), F.count(F.lit(1))).first()
-    return F.broadcast(df) if (n or 0) * bytes_each + rows * 64 <= BROADCAST_BYTES else df.hint("shuffle_hash")
+def _bounded(spans):
+    """``spans`` (written) marked for broadcast if all of them are few bytes."""
+    n, rows = spans.agg(F.sum(F.size("spans")), F.count(F.lit(1))).first()
+    return F.broadcast(spans) if (n or 0) * 4 + rows * 64 <= BROADCAST_BYTES else spans.hint("shuffle_hash")
 
 
 def _merge(batches):
@@ -327,38 +346,50 @@ def _merge(batches):
             [batch["doc_id"], batch["h"], pa.array(spans, pa.list_(pa.int32()))], ["doc_id", "h", "spans"])
 
 
+def shared_anchors(docs):
+    """(doc_id, keys): the anchors of each document that occur again somewhere."""
+    with staged(anchors(docs), "anchors") as found:
+        shared = stage(found.groupBy("key").count().where("count > 1").select("key"), "shared")
+        return stage(found.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "keys")
+
+
+def _dealt(rows, key, total):
+    """Rows by shards of about ``SHARD_WORDS`` of ``total`` words."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // SHARD_WORDS))))).groupBy("shard")
+
+
+def _removed(cut):
+    """(doc_id, h, starts): windows of pieces that an earlier document has."""
+    counts = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("windows") + WINDOW).alias("words"))
+    counts = stage(counts, "counts")
+    hot = stage(counts.where(F.col("n") > HOT_PIECES).select("key"), "hot")
+    words_of = lambda where: counts.where(where).agg(F.sum("words")).first()[0] or 0
+    lost = "doc_id long, h long, starts array<int>"
+    if hot.isEmpty():
+        return _dealt(cut.select("key", "piece", "doc_id", "h", "start"), "key", words_of("true")).applyInArrow(_search, lost)
+    hot = checked_broadcast(hot)
+    alone = cut.join(hot, "key", "left_anti").select("key", "piece", "doc_id", "h", "start")
+    found = _dealt(alone, "key", words_of(F.col("n") <= HOT_PIECES)).applyInArrow(_search, lost)
+    single = stage(_single_windows(cut.join(hot, "key", "left_semi").select(*_KINDS)), "windows")
+    distinct = stage(single.groupBy("id", "piece").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
+    firsts = _dealt(distinct, "id", distinct.count() * (WINDOW + 1)).applyInArrow(_search_single, "id binary, first long")
+    again = single.select("id", "doc_id", "h", "start").join(firsts, "id").where("first < doc_id")
+    return found.unionByName(again.select("doc_id", "h", F.array("start").alias("starts")))
+
+
 def repeated_spans(docs):
     """(doc_id, h, spans): word ranges that an earlier document has; h: xxhash64 of the text.
 
-    ``spans`` holds the start and end of one range after the other.
+    ``spans`` holds the start and end of one range after the other. Tables are
+    deleted and shuffle files released as soon as the next step has its own.
     """
-    found = stage(anchors(docs), "anchors")
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    keys = found.join(checked_broadcast(stage(shared, "shared")), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    keys = _bounded(stage(keys, "keys"), "keys", 8)
+    keys = shared_anchors(docs).hint("shuffle_hash")
+    release(docs.sparkSession)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    cut = stage(pieces(texts.join(keys, "doc_id").select("doc_id", "h", "text", "keys")), "pieces")
-
-    owned = [F.first("key").alias("key"), F.first("piece").alias("piece"), F.min("doc_id").alias("first"),
-             F.max("doc_id").alias("last"), F.first("windows").alias("windows")]
-    distinct = stage(cut.groupBy("id").agg(*owned), "distinct")
-    hot = stage(distinct.groupBy("key").count().where(F.col("count") > HOT_PIECES).select("key"), "hot")
-    placed = distinct.withColumn("deal", F.xxhash64("key"))
-    if not hot.isEmpty():
-        hot = checked_broadcast(hot)
-        single = stage(_single_windows(cut.join(hot, "key", "left_semi").select(cut.columns)), "windows")
-        cut = cut.join(hot, "key", "left_anti").unionByName(single)
-        placed = placed.join(hot, "key", "left_anti").unionByName(
-            single.groupBy("id").agg(*owned).withColumn("deal", F.xxhash64("id")))
-    total = placed.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
-    shards = -(-total // SHARD_WORDS) or 1
-    dealt = placed.select("id", "piece", "first", "last", F.pmod("deal", F.lit(shards)).alias("shard"))
-    firsts = stage(dealt.groupBy("shard").applyInArrow(_search, "id binary, firsts array<long>"), "firsts")
-
-    lost = cut.select("id", "doc_id", "h", "start").join(firsts, "id").select("doc_id", "h", F.filter(
-        F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("starts"))
-    lost = lost.where("size(starts) > 0").groupBy("doc_id", "h").agg(F.collect_set("starts").alias("starts"))
-    return map_batches(lost, _merge, "doc_id long, h long, spans array<int>")
+    with staged(pieces(texts.join(keys, "doc_id").select("doc_id", "h", "text", "keys")), "pieces") as cut:
+        release(docs.sparkSession)
+        lost = _removed(cut).groupBy("doc_id", "h").agg(F.collect_set("starts").alias("starts"))
+        return stage(map_batches(lost, _merge, "doc_id long, h long, spans array<int>"), "spans")
 
 
 def _keep(batches):
@@ -389,7 +420,8 @@ def _keep(batches):
 def without_repeats(docs):
     """(doc_id, n_words, n_removed, kept_sha256) of ``docs`` (doc_id, text), a row each."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = _bounded(stage(repeated_spans(docs), "spans"), "spans", 4)
+    spans = _bounded(repeated_spans(docs))
+    release(docs.sparkSession)
     joined = docs.withColumn("h", F.xxhash64("text")).join(spans, ["doc_id", "h"], "left").select("doc_id", "text", "spans")
     return map_batches(joined, _keep, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 

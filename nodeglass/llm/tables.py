@@ -5,6 +5,8 @@ Intermediate tables go to the folder in ``spark.checkpoint.dir``, which all
 executors share; a lost executor costs the tasks it ran, never their inputs.
 """
 
+import gc
+
 import pyarrow as pa
 
 from nodeglass.session import scratch_path
@@ -45,3 +47,13 @@ def map_batches(df, function, schema):
         pa.default_memory_pool().release_unused()  # workers live on
 
     return df.mapInArrow(run, schema)
+
+
+def release(spark):
+    """Let Spark delete the shuffle files of steps that are over.
+
+    It does so once the driver has collected the garbage of their plans, which
+    is asked for here, between steps that each fill the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
