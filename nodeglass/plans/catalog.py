@@ -80,6 +80,15 @@ class Tables:
             _MODELS[key] = classify.fit_classifier(self.stored_node_features)
         return _MODELS[key]
 
+    @cached_property
+    def trained(self):
+        """One run of the training job per session and folder: its models' path and its report."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "training")
+        if key not in _MODELS:
+            path = self.scratch("models")
+            _MODELS[key] = path, jobs.train(self.logs, self.nodes, path)[1]
+        return _MODELS[key]
+
     @cached_property
     def clean_nodes(self):
         """A registry that lacks some of the nodes sending logs."""
@@ -231,6 +240,21 @@ def _(t):
     return forest.score_logs(t.loaded, forest.load_forest(t.spark, path))
 
 
+@query("io12_models_come_back", """
+SELECT (SELECT count(*) FROM logs) AS logs_alike, (SELECT count(*) FROM features) AS nodes_alike""")
+def _(t):
+    """Both models score everything as before once saved and loaded."""
+    path = t.scratch("models")
+    jobs.save_models(jobs.Models(t.forest, t.classifier), path)
+    again = jobs.load_models(t.spark, path)
+    alike = lambda one, two, key, score: one.select(key, score).join(
+        two.select(key, F.col(score).alias("again")), key).where(F.col(score) == F.col("again")).agg(F.count(F.lit(1))).scalar()
+    table = t.stored_node_features
+    return t.spark.range(1).select(
+        alike(t.scored, forest.score_logs(t.loaded, again.forest), "log_id", "anomaly_score").alias("logs_alike"),
+        alike(classify.score_nodes(t.classifier, table), classify.score_nodes(again.classifier, table), "node_id", "infected_prob").alias("nodes_alike"))
+
+
 # Column expressions ---------------------------------------------------------
 
 @query("pr1_decode_serial", "SELECT node_uuid, user_agent, serial_number FROM nodes")
@@ -1053,6 +1077,25 @@ def _(t):
     return forest.score_logs(newest, t.forest, fill=S.LOAD_FILL)
 
 
+@query("ml5_single_is_batch", "SELECT max_id AS log_id, true AS same_score FROM top")
+def _(t):
+    """The newest log scores alone as it does among all others."""
+    alone = forest.score_logs(topk.latest_logs(t.loaded, 1), t.forest, fill=S.LOAD_FILL)
+    batch = forest.score_logs(t.loaded, t.forest, fill=S.LOAD_FILL).select("log_id", F.col("anomaly_score").alias("in_batch"))
+    return alone.join(batch, "log_id").select("log_id", (F.col("anomaly_score") == F.col("in_batch")).alias("same_score"))
+
+
+@query("ml5_suspicious_scores_lower", """
+SELECT count(*) AS log_count, true AS suspicious_scores_lower FROM logs WHERE http_response_code = 200 AND response_time_ms <= 120""")
+def _(t):
+    """Quiet logs against the same logs made slow, throttled and loaded."""
+    quiet = t.loaded.where("http_response_code = 200 AND response_time_ms <= 120")
+    loud = quiet.withColumns({"response_time_ms": F.lit(250), "http_response_code": F.lit(429), "effective_load": F.lit(0.99)})
+    before = forest.score_logs(quiet, t.forest).select("log_id", F.col("anomaly_score").alias("before"))
+    return forest.score_logs(loud, t.forest).join(before, "log_id").agg(
+        F.count(F.lit(1)).alias("log_count"), (F.avg("anomaly_score") < F.avg("before")).alias("suspicious_scores_lower"))
+
+
 @query("ml6_train_classifier")
 def _(t):
     weights = list(t.classifier.importances().items())
@@ -1106,6 +1149,31 @@ def _(t):
     return classify.class_report(scored).withColumn("auc", F.lit(classify.auc(scored)))
 
 
+@query("ml6_tree_shapes", f"""
+SELECT CAST(range AS INT) AS round, true AS splits_have_two_children, true AS within_depth FROM range({S.BOOST_ROUNDS})""")
+def _(t):
+    """Every round of the fit has a binary tree of at most the depth asked for."""
+    leaf = F.col("feature").isNull()
+    return boosting.as_table(t.spark, t.classifier).groupBy("round").agg(
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("splits_have_two_children"),
+        (F.max("slot") < 2 ** (S.BOOST_DEPTH + 1) - 1).alias("within_depth"))
+
+
+@query("ml7_chances", "SELECT node_id, true AS in_range, true AS cut_at_half FROM features")
+def _(t):
+    chance = F.col("infected_prob")
+    return classify.score_nodes(t.classifier, t.stored_node_features).select(
+        "node_id", chance.between(0, 1).alias("in_range"), (F.col("predicted_infected") == (chance >= 0.5)).alias("cut_at_half"))
+
+
+@query("ml8_learned", """
+SELECT CASE WHEN is_infected THEN 'Infected' ELSE 'Clean' END AS class, count(*) AS support, true AS better_than_chance
+FROM features GROUP BY is_infected""")
+def _(t):
+    scored = classify.score_nodes(t.classifier, t.stored_node_features)
+    return classify.class_report(scored).select("class", "support", F.lit(classify.auc(scored) > 0.5).alias("better_than_chance"))
+
+
 @query("ml8_rank_auc", """
 SELECT round(sum(CASE WHEN n.s < p.s THEN n.n * p.n WHEN n.s = p.s THEN n.n * p.n / 2 ELSE 0 END) / sum(n.n * p.n), 9) AS auc
 FROM (SELECT round(avg_response_time_ms) AS s, count(*)::DOUBLE AS n FROM features WHERE is_infected GROUP BY 1) p,
@@ -1135,6 +1203,14 @@ def _(t):
     return audit.coverage_report(t.scored.filter("is_anomaly"), t.nodes)
 
 
+@query("ml9_audit_adds_up", """
+SELECT unnest(['v1', 'v2', 'total']) AS scope, (SELECT count(*) FROM nodes WHERE is_infected) AS truth, true AS adds_up""")
+def _(t):
+    report = audit.coverage_report(t.scored.filter("is_anomaly"), t.nodes)
+    fits = (F.col("correct") + F.col("missed") == F.col("truth")) & (F.col("correct") <= F.col("detected"))
+    return report.select("scope", "truth", fits.alias("adds_up"))
+
+
 # Rules ----------------------------------------------------------------------
 
 @query("ru1_ddos_nodes", """
@@ -1300,13 +1376,22 @@ def _(t):
 
 @query("rp11_training_job")
 def _(t):
-    path = t.scratch("models")
-    _, found = jobs.train(t.logs, t.nodes, path)
+    path, found = t.trained
     models = jobs.load_models(t.spark, path)
     rate = anom.flag_rate(forest.score_logs(t.loaded, models.forest)).select("flag_rate").scalar()
     return found["classes"].withColumns({"auc": F.lit(found["auc"]), "flag_rate": rate})
 
 
+@query("rp11_training_report", """
+SELECT http_response_code, count(*) AS log_count, (SELECT count(*) FROM nodes) AS total_nodes,
+       (SELECT count(*) FROM nodes WHERE is_infected) AS infected_nodes FROM logs GROUP BY http_response_code""")
+def _(t):
+    """What the training job reports of its input."""
+    _, found = t.trained
+    of = lambda column: found["registry"].select(column).scalar().alias(column)
+    return found["codes"].select("http_response_code", "log_count", of("total_nodes"), of("infected_nodes"))
+
+
 @query("rp12_seed_job", """
 SELECT 'schema_config' AS table_name, count(*) AS added, 0::BIGINT AS added_again FROM config
 UNION ALL SELECT 'nodes', count(*), 0 FROM nodes UNION ALL SELECT 'logs', count(*), 0 FROM logs""")

@@ -25,19 +25,28 @@ def new_rows(rows, target, key):
     return rows.dropDuplicates(key).join(target.select(key), key, "left_anti")
 
 
-def within(target, rows, key):
-    """Rows of ``target`` between the least and the greatest ``key`` of ``rows``.
+def within(target, rows, key, most=64):
+    """Rows of ``target`` near the keys of ``rows``: inside one of up to ``most`` ranges.
 
-    The bounds are two numbers, which reach the Parquet filter.
+    The range of the keys is cut into equal slots, of which each that is used
+    gives its least and greatest key. These bounds reach the Parquet filter, so a
+    load of scattered keys reads the files around them and not all in between.
     """
     first, last = rows.agg(F.min(key), F.max(key)).first()
-    return target.filter(F.lit(False) if first is None else F.col(key).between(first, last))
+    if first is None:
+        return target.filter(F.lit(False))
+    width = (last - first) // most + 1
+    slot = F.call_function("div", F.col(key) - F.lit(first), F.lit(width).cast("long"))
+    near = F.lit(False)
+    for r in rows.where(F.col(key).isNotNull()).groupBy(slot.alias("slot")).agg(F.min(key).alias("a"), F.max(key).alias("b")).collect():
+        near |= F.col(key).between(r["a"], r["b"])
+    return target.filter(near)
 
 
 def append_new(rows, path, key, schema):
     """Append rows with unseen keys to a Parquet table; returns how many.
 
-    Only files whose range of the first key meets that of ``rows`` are compared.
+    Only files that may hold keys near those of ``rows`` are compared.
     """
     rows = schemas.conform(rows, schema)
     target = within(read_table(rows.sparkSession, path, schema), rows, key[0])

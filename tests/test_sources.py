@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from nodeglass import schemas, sources
 from nodeglass.operators import features, forest, topk, windows
@@ -118,3 +119,16 @@ def test_late_seeding_fills_the_gap(spark, folder, make_logs):
     assert sources.seed_logs(logs, folder("logs"), ids_per_folder=20) == 31
     assert sources.seed_logs(logs.limit(0), folder("logs"), ids_per_folder=20) == 0
     assert sources.read_table(spark, folder("logs"), schemas.LOGS).count() == 100
+
+
+def test_insert_compares_only_near_files(spark, make_nodes, tmp_path):
+    path, at = str(tmp_path / "nodes"), lambda ids: make_nodes([(i, f"SN-{i}", False) for i in ids])
+    for block in range(6):
+        assert writers.seed_nodes(at(range(block * 100, block * 100 + 100)), path) == 100
+    stored = writers.read_table(spark, path, schemas.NODES)
+    files = lambda ids: writers.within(stored, at(ids), "node_uuid").select(F.input_file_name()).distinct().count()
+    every = len(stored.inputFiles())
+    assert files([5, 7]) == 1 and files([5, 595]) == 2 and files(range(0, 600, 50)) <= every
+    assert writers.seed_nodes(at([5, 595, 700, 701, 700]), path) == 2
+    assert writers.seed_nodes(at([5, 595, 700, 701]), path) == 0 and writers.seed_nodes(at([]), path) == 0
+    assert sorted(r[0] for r in writers.read_table(spark, path, schemas.NODES).select("node_uuid").collect()) == [*range(600), 700, 701]
