@@ -1,4 +1,4 @@
-"""Operators for preparing training data: ten methods, their queries and SQL.
+"""Operators for preparing training data: thirteen methods, their queries and SQL.
 
 Nothing outside this folder, ``tests/llm`` and ``corpus_pipeline.py`` imports it.
 """

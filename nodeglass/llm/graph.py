@@ -1,8 +1,38 @@
-"""Connected components of an edge table, by joins and grouping alone."""
+"""Vertices that meet under a key, and connected components of an edge table."""
 
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Window, functions as F
 
 from nodeglass.llm.tables import stage
+from nodeglass.llm.words import mix
+
+MEETING = "key long, id long, other long"
+
+
+def meeting(keys, ids):
+    """Arrow rows (key, id, other) of vertices under keys, for ``meeting_edges``.
+
+    What a task holds is joined before it moves: only the first vertex of each
+    key keeps the key, the others have that vertex as ``other``. So a key that a
+    third of all vertices have comes to the shuffle once per call, not per vertex.
+    """
+    keys, ids = keys.view(np.int64), np.asarray(ids, np.int64)
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = ids[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(ids) else ids
+    twice = ~new & (ids == first)
+    spread = np.where(new, keys, mix(ids.view(np.uint64)).view(np.int64))
+    columns = [pa.array(spread[~twice]), pa.array(ids[~twice]), pa.array(first[~twice], mask=new[~twice])]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "id", "other"])
+
+
+def meeting_edges(met):
+    """Edges (a, b) that connect all vertices of each key with its least one."""
+    least = F.first("id").over(Window.partitionBy("key").orderBy("id"))
+    return met.select(F.col("id").alias("a"), F.coalesce("other", least).alias("b")).where("a <> b").distinct()
 
 
 def components(edges, label="components"):

@@ -26,10 +26,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from nodeglass.llm import words
-from nodeglass.llm.graph import components
+from nodeglass.llm.graph import MEETING, components, meeting, meeting_edges
 from nodeglass.llm.tables import map_batches, stage, table
 from nodeglass.operators.skew import checked_broadcast
 
@@ -93,7 +93,8 @@ def part_keys(shingles, n, parts):
 
 
 def _keyed(docs, key, text):
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    """Rows named by id and a hash of their text, as ids may be shared."""
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
 
 
 def common_shingles(docs, shingle):
@@ -107,7 +108,7 @@ def common_shingles(docs, shingle):
 
     def sets(batches):
         for batch in batches:
-            found = [(words.set_key(s)[0], s) for s in words.shingle_sets(batch.column(1), shingle) if len(s)]
+            found = [(words.set_key(s)[0], s) for s in words.shingle_sets(batch["text"], shingle) if len(s)]
             hashes = np.concatenate([s for _, s in found] or [np.zeros(0, np.uint64)]).view(np.int64)
             of = np.repeat([k for k, _ in found], [len(s) for _, s in found]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(of)], names=["hash", "of"])
@@ -118,30 +119,30 @@ def common_shingles(docs, shingle):
 
 
 def sets_of(docs, shingle):
-    """(id, n, k1, k2): size and 128-bit name of each document's set."""
+    """(id, h, n, k1, k2): size and 128-bit name of each document's set."""
 
     def name(batches):
         for batch in batches:
-            sets = [(len(s), *words.set_key(s)) for s in words.shingle_sets(batch.column(1), shingle)]
+            sets = [(len(s), *words.set_key(s)) for s in words.shingle_sets(batch["text"], shingle)]
             columns = zip(*sets) if sets else ([], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "n", "k1", "k2"])
+                [batch["id"], batch["h"], *(pa.array(c, pa.int64()) for c in columns)], names=["id", "h", "n", "k1", "k2"])
 
-    return map_batches(docs, name, "id long, n long, k1 long, k2 long")
+    return map_batches(docs, name, "id long, h long, n long, k1 long, k2 long")
 
 
 def part_table(docs, shingle, percent, common):
-    """(part, k1) for each part of each class; a task tells a class once."""
+    """Classes under each of their parts, as ``meeting`` rows; a task tells a class once."""
 
     def rows(keys, of):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(of))], names=["part", "k1"])
+        return meeting(np.concatenate(keys), np.concatenate(of))
 
     def cut(batches):
         parts, seen = Parts(percent), set()
         frequent = common.value
         for batch in batches:
             keys, of, many = [], [], 0
-            for s in words.shingle_sets(batch.column(1), shingle):
+            for s in words.shingle_sets(batch["text"], shingle):
                 if many >= PART_ROWS:
                     yield rows(keys, of)
                     keys, of, many = [], [], 0
@@ -159,7 +160,7 @@ def part_table(docs, shingle, percent, common):
             if keys:
                 yield rows(keys, of)
 
-    return map_batches(docs, cut, "part long, k1 long")
+    return map_batches(docs, cut, MEETING)
 
 
 class Tree:
@@ -291,13 +292,16 @@ def _chunked(members):
     bands = bands.join(whole, "_group").select("_group", "_band", "_whole", slots.alias("_slots"))
     slot = (F.col("_band") + 1) * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("_slots"))
     return members.join(bands, ["_group", "_band"]).select(
-        "_group", "id", "n", F.when(F.col("_whole"), F.lit(0)).otherwise(slot).cast("long").alias("_chunk"))
+        "_group", "id", "n", "rep", F.when(F.col("_whole"), F.lit(0)).otherwise(slot).cast("long").alias("_chunk"))
 
 
 def set_links(classes, docs, groups, shingle, percent):
-    """Links (a, b) between the representatives of classes in one group."""
+    """Links (a, b) between classes in one group, by their k1.
+
+    The text of a class is that of its representative, by id and hash.
+    """
     members = stage(classes.join(groups, classes["k1"] == groups["id"]).select(
-        F.col("component").alias("_group"), F.col("rep").alias("id"), "n",
+        F.col("component").alias("_group"), F.col("k1").alias("id"), "n", "rep",
         F.floor(F.log("n") / math.log(BAND_GROWTH)).alias("_band")), "sets-in-groups")
     members = stage(_chunked(members), "sets-in-chunks")
     chunks = members.groupBy("_group", "_chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -306,9 +310,11 @@ def set_links(classes, docs, groups, shingle, percent):
         chunks.alias("y"), (F.col("x._group") == F.col("y._group")) & (F.col("x._chunk") <= F.col("y._chunk")) & fits
     ).select(F.col("x._group").alias("_group"), F.col("x._chunk").alias("_one"), F.col("y._chunk").alias("_two"))
     tasks = units.select("_group", "_one", "_two", F.explode(F.array_distinct(F.array("_one", "_two"))).alias("_chunk"))
-    placed = members.join(tasks, ["_group", "_chunk"])
+    placed = members.drop("rep").join(tasks, ["_group", "_chunk"])
     bins = max(1, math.ceil((placed.agg(F.sum("n")).first()[0] or 0) / BIN_SHINGLES))
-    texts = stage(docs.join(checked_broadcast(members.select("id").distinct()), "id").dropDuplicates(["id"]), "texts-in-groups")
+    wanted = checked_broadcast(stage(members.select(F.col("rep.id").alias("_doc"), F.col("rep.h").alias("_h"), F.col("id").alias("_class")).distinct(), "wanted"))
+    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")))
+    texts = stage(texts.select(F.col("_class").alias("id"), "text").dropDuplicates(["id"]), "texts-in-groups")
     rows = placed.join(texts, "id").withColumn(
         "_bin", F.pmod(F.xxhash64("_group", "_one", "_two"), F.lit(bins)))
 
@@ -327,6 +333,29 @@ def set_links(classes, docs, groups, shingle, percent):
     return rows.select(*columns).groupBy("_bin").applyInPandas(join, "a long, b long")
 
 
+def jaccard_firsts(docs, key="doc_id", text="text", shingle=5, percent=80):
+    """(id, h, n_shingles, first) for each row of ``docs``; h: xxhash64 of the text.
+
+    ``first`` has the id and h of the first row of the component, by id, then h;
+    ids that are null come last. It is null for rows without words. Rows that
+    share an id are linked by their texts alone.
+    """
+    docs = _keyed(docs, key, text)
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(docs, shingle))
+    sets = stage(sets_of(docs, shingle), "sets")
+    own, least = F.struct("id", "h"), lambda x, has: F.coalesce(F.min(F.when(has, x)), F.min(x))
+    classes = stage(sets.where("n > 0").groupBy("k1", "k2", "n").agg(least(own, F.col("id").isNotNull()).alias("rep")), "set-classes")
+    together = meeting_edges(part_table(docs, shingle, percent, common))
+    groups = stage(components(together, "set-groups"), "set-groups")
+    links = components(set_links(classes, docs, groups, shingle, percent), "set-links")
+    named = stage(classes.join(links, classes["k1"] == links["id"], "left").select(
+        "k1", "k2", "n", "rep", F.coalesce("component", "k1").alias("component")), "set-components")
+    firsts = named.groupBy("component").agg(least(F.col("rep"), F.col("rep.id").isNotNull()).alias("first"))
+    return sets.join(named.join(firsts, "component").drop("rep", "component"), ["k1", "k2", "n"], "left").select(
+        "id", "h", F.col("n").alias("n_shingles"), "first")
+
+
 def jaccard_components(docs, key="doc_id", text="text", shingle=5, percent=80):
     """(id, n_shingles, component_id) for each row of ``docs``.
 
@@ -338,19 +367,7 @@ def jaccard_components(docs, key="doc_id", text="text", shingle=5, percent=80):
     whole numbers; rows with a null key have a null component unless they link
     with others. Other columns of ``docs`` do not matter.
     """
-    docs = _keyed(docs, key, text)
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(docs, shingle))
-    sets = stage(sets_of(docs, shingle), "sets")
-    classes = stage(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "set-classes")
-    first = F.first("k1").over(Window.partitionBy("part").orderBy("k1"))
-    together = part_table(docs, shingle, percent, common).select(F.col("k1").alias("a"), first.alias("b"))
-    groups = stage(components(together.where("a <> b").distinct(), "set-groups"), "set-groups")
-    links = components(set_links(classes, docs, groups, shingle, percent), "set-links")
-    named = classes.join(links, classes["rep"] == links["id"], "left").select(
-        "k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return sets.join(named, ["k1", "k2", "n"], "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return jaccard_firsts(docs, key, text, shingle, percent).select("id", "n_shingles", F.coalesce("first.id", "id").alias("component_id"))
 
 
 def op7_jaccard_join(spark, sf_dir):

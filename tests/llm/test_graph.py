@@ -1,7 +1,7 @@
 import brute
 import numpy as np
 
-from nodeglass.llm.graph import components
+from nodeglass.llm.graph import MEETING, components, meeting, meeting_edges
 
 
 def test_components(spark):
@@ -17,3 +17,24 @@ def test_components(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
+
+
+def test_meeting_rows_connect_what_meets(spark):
+    rng = np.random.default_rng(1)
+    keys, ids = rng.integers(0, 60, 400).astype(np.uint64), rng.integers(0, 150, 400)
+    keys[:120] = 7  # a key of many
+    rows = [r for part in np.array_split(np.arange(400), 5) for r in meeting(keys[part], ids[part]).to_pylist()]
+    assert sum(r["key"] == 7 and r["other"] is None for r in rows) <= 5
+    found = components(meeting_edges(spark.createDataFrame([tuple(r.values()) for r in rows], MEETING).repartition(4)))
+    first = {}
+    want = brute.components(sorted(set(ids.tolist())), [
+        (i, j) for i, j in _pairs(sorted(set(ids.tolist())), zip(keys.tolist(), ids.tolist()), first)])
+    got = {r["id"]: r["component"] for r in found.collect()}
+    assert {i: got.get(i, i) for i in sorted(set(ids.tolist()))} == dict(zip(sorted(set(ids.tolist())), want))
+
+
+def _pairs(names, rows, first):
+    """Index pairs of ids that share a key, each with the first of the key."""
+    place = {name: k for k, name in enumerate(names)}
+    for key, name in rows:
+        yield place[first.setdefault(key, name)], place[name]

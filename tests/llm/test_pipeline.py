@@ -72,7 +72,7 @@ def test_run_is_the_stages(spark, steps):
 
 
 def test_edge_rows(spark, edge_docs):
-    docs = edge_docs.where("doc_id IS NULL OR doc_id <> 6").withColumn("n_chars", F.length("text").cast("long"))
+    docs = edge_docs.withColumn("n_chars", F.length("text").cast("long"))
     for _, step in corpus_pipeline.STAGES:
         docs = stage(step(spark, docs, SF), "test")
     ids = {r["doc_id"] for r in docs.collect()}
@@ -85,3 +85,17 @@ def test_near_copies_with_shared_ids(spark):
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(
         [(1, text), (3, None), (None, text), (None, None)], key=str)
+
+
+def test_different_texts_with_one_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (1, c), (1, c), (2, b + " more"), (3, a), (4, a + " end")]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, a), (1, b), (1, c)])
+
+
+def test_empty_table(spark, no_docs):
+    docs = no_docs.withColumn("n_chars", F.length("text").cast("long"))
+    for _, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, SF), "test")
+        assert docs.count() == 0

@@ -92,3 +92,13 @@ def test_shingle_sets_agree_with_plain_ones(texts, k):
     for i in range(len(texts)):
         for j in range(i):
             assert (sets[i].tolist() == sets[j].tolist()) == (plain[i] == plain[j])
+
+
+def test_words_of_a_regular_pattern_and_shared_ids(spark):
+    """A Thue-Morse word and its complement are two words; rows that share an id have their own sets."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, one), (2, two), (3, one), (5, "a b c d"), (5, "x y z w"), (6, "x y z w"), (None, "x y z w")]
+    out = trees.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=90)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(
+        [(1, 1, 1), (2, 1, 2), (3, 1, 1), (5, 2, 5), (5, 2, 5), (6, 2, 5), (None, 2, 5)], key=str)
