@@ -44,7 +44,7 @@ SAMPLE_WORDS = 50_000  # one after the other until they have so many words of th
 RUN_WORDS = 20_000
 BUCKETS = 4096
 SETTLED = 1e-3  # change of a message or node below which it has settled
-MOST_ROUNDS = 50  # of message passing, should loops keep it from settling
+MOST_ROUNDS = 500  # of message passing; words that loops still move then keep what they have come to
 ALIKE = 6.0  # log weight for equal labels of words that repeat or resemble each other
 CERTAIN = 0.9  # probability from which a word gets a span
 _SURE = 20.0  # log potential of a pattern's finding
@@ -89,7 +89,7 @@ def base_spans(text):
 
 def _shape(word):
     """Digits as 9, letters as a, runs of up to six kept apart, the rest shortened."""
-    kinds = ["9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in word[:64]]
+    kinds = ["9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in word]
     out = []
     for c in kinds:
         if len(out) < 6 or out[-6:] != [c] * 6:
@@ -130,7 +130,7 @@ class Field:
             # A word overlapping a finding has its label; both are in order of start.
             while at < len(base) and base[at][2] <= m.start():
                 at += 1
-            label = next((b[1] + 1 for b in base[at:at + 8] if b[0] < m.end() and b[2] > m.start()), 0)
+            label = base[at][1] + 1 if at < len(base) and base[at][0] < m.end() else 0
             shape = _shape(word)
             near = last is not None and last[0] == number - 1
             features = ["", "s" + shape, "c" + shape.strip(".,;:()!?\"'"), "p" + (last[2] if near else "w")]

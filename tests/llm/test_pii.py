@@ -107,3 +107,10 @@ def test_query(spark):
         assert row["base_sha256"] == brute.digest(base)
         assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(s.startswith(k) for s in base) for k in pii.KINDS]
         assert set(base) <= set(row["spans"].split(","))
+
+
+def test_long_words_are_read_to_their_end():
+    field, text = pii.Field(), "x" * 100 + "1 " + ",".join(["ab@cd.ef"] * 30) + " 7"
+    field.add(0, text, pii.base_spans(text))
+    assert field.label == [0, 1, 0]
+    assert pii._shape("-" * 70 + "9") != pii._shape("-" * 70)
