@@ -20,9 +20,9 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from nodeglass.llm.graph import components
+from nodeglass.llm.graph import MEETING, components, meeting, meeting_edges
 from nodeglass.llm.tables import map_batches, stage, table
 from nodeglass.llm.words import mix
 
@@ -93,7 +93,7 @@ def _matrix(column):
 
 
 def _cell_table(classes, blocks):
-    """(cell, id) rows of every class of vectors."""
+    """The cells of every class of vectors, as ``meeting`` rows."""
 
     def enter(batches):
         for batch in batches:
@@ -102,9 +102,9 @@ def _cell_table(classes, blocks):
                 rows = pa.array(sizes == size)
                 ids = np.repeat(batch.column(0).filter(rows).to_numpy(), 1 + blocks)
                 for found in cells(_matrix(batch.column(1).filter(rows)), blocks):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(ids)], names=["cell", "id"])
+                    yield meeting(found.ravel(), ids)
 
-    return map_batches(classes.select("id", "vector", F.size("vector").alias("size")), enter, "cell long, id long")
+    return map_batches(classes.select("id", "vector", F.size("vector").alias("size")), enter, MEETING)
 
 
 def _block_links(ids, vectors, many, side, threshold):
@@ -146,7 +146,8 @@ def _group_links(classes, groups, threshold):
     tasks = placed.select(
         "id", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with")
     ).select("id", "component", "chunk", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("two"))
-    bins = max(1, placed.count() // CHUNK)
+    # A vector is placed once for each chunk of its group.
+    bins = max(1, (placed.agg(F.sum("chunks")).first()[0] or 0) // CHUNK)
     rows = tasks.join(classes, "id").withColumn("bin", F.pmod(F.xxhash64("component", "one", "two"), F.lit(bins)))
 
     def link(rows):
@@ -182,9 +183,7 @@ def near_duplicates(vectors, key="vec_id", vector="embedding", threshold=0.9):
     classes = stage(rows.where("usable AND id IS NOT NULL").groupBy("k1", "k2").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("many"), F.any_value("vector").alias("vector")), "vector-classes")
     entered = _cell_table(classes, blocks_for(classes.count()))
-    first = F.first("id").over(Window.partitionBy("cell").orderBy("id"))
-    met = entered.select(F.col("id").alias("a"), first.alias("b")).where("a <> b").distinct()
-    groups = stage(components(met, "vector-cells"), "vector-groups")
+    groups = stage(components(meeting_edges(entered), "vector-cells"), "vector-groups")
     found = stage(_group_links(classes.select("id", "many", "vector"), groups, threshold), "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     linked = components(found.where("b IS NOT NULL").select("a", "b"), "vector-links")
