@@ -5,21 +5,30 @@ from pyspark.sql import functions as F
 from nodeglass.operators.skew import salted_join
 
 
-def clone_groups(nodes):
-    """Serials carried by more than one node, with counts."""
+def _counted(nodes):
+    """Serials carried by more than one node; ``named`` is 0 for nodes without one."""
     return nodes.groupBy("serial_number").agg(
         F.count("node_uuid").alias("clone_count"),
         F.coalesce(F.sum(F.col("is_infected").cast("long")), F.lit(0)).alias("infected_count"),
+        F.count("serial_number").alias("named"),
     ).filter(F.col("clone_count") > 1)
 
 
+def clone_groups(nodes):
+    """Serials carried by more than one node, with counts."""
+    return _counted(nodes).drop("named")
+
+
 def clone_members(nodes):
     """Every node whose serial is shared, one row per node.
 
     A salted join against the shared serials rather than a count over a window,
     so a serial copied onto a large part of the fleet is split over many tasks.
+    Nodes without a serial are left out by their count, not by a null filter,
+    so the serial is decoded once for the groups and once for the rows.
     """
-    return salted_join(nodes, clone_groups(nodes), "serial_number", "node_uuid")
+    shared = _counted(nodes).filter(F.col("named") > 0).drop("named")
+    return salted_join(nodes, shared, "serial_number", "node_uuid")
 
 
 def cloned_identities(nodes, list_size=10_000):

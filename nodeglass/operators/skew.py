@@ -10,11 +10,17 @@ def salted_join(big, small, on, row_key, salts=64):
     """Inner join of ``big`` with a side that has one row per join key.
 
     Rows of one key are spread over ``salts`` buckets by the hash of
-    ``row_key``; the small side is repeated once per bucket.
+    ``row_key``; the small side is repeated once per bucket. A null key meets a
+    null key: a plain comparison would add a null filter to both sides, which
+    works out a costly key once more where the rows are read.
     """
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [on, "_salt"]).drop("_salt")
+    repeated = small.withColumnRenamed(on, "_on").withColumn(
+        "_bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    same = F.col(on).eqNullSafe(F.col("_on")) & (F.col("_salt") == F.col("_bucket"))
+    added = [c for c in small.columns if c != on]
+    return spread.join(repeated, same).select(on, *[c for c in big.columns if c != on], *added)
 
 
 def checked_broadcast(materialised, limit=BROADCAST_ROWS):

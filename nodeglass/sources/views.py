@@ -50,7 +50,13 @@ def raw_nodes(spark, sf_dir):
 
 
 def nodes(spark, sf_dir):
-    return raw_nodes(spark, sf_dir).withColumn("serial_number", decode_serial_number("user_agent"))
+    """Registry with the decoded serial.
+
+    A registry file may be a single split, so its rows are dealt to all tasks
+    before they are decoded.
+    """
+    dealt = raw_nodes(spark, sf_dir).repartition("node_uuid")
+    return dealt.withColumn("serial_number", decode_serial_number("user_agent"))
 
 
 def anomalies(spark, sf_dir, window=S.WINDOW):

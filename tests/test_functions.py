@@ -46,6 +46,18 @@ def test_blank_user_agent_has_no_serial(spark):
     assert decode_all(spark, ["", "  ", None]) == [None, None, None]
 
 
+def test_a_serial_is_decoded_in_one_chain(spark):
+    rows = spark.createDataFrame([("agent U04tMQ==",)], "ua string").coalesce(1)
+    plan = rows.select(X.decode_serial_number("ua").alias("serial"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("unbase64(") == 1
+    assert plan.count("regexp_extract") == 4  # the word, its fitting part, whole groups, and the word as it is
+
+
+def test_long_words_and_long_runs_of_spaces(spark):
+    texts = ["agent " + "QUJD" * 50_000, "x" * 200_000 + " U04tMQ==" + " " * 1000, "a\n U04tMQ==\r\n", "U04tMQ==\u2028"]
+    assert decode_all(spark, texts) == ["ABC" * 50_000, "SN-1", "SN-1", "SN-1"]
+
+
 def test_labels(spark):
     codes = spark.createDataFrame([(c,) for c in (100, 200, 206, 404, 429, 499, 500, 503, 599)], "http_response_code int")
     got = {r[0]: (r[1], r[2]) for r in codes.select("http_response_code", X.http_label(), X.map_label()).collect()}

@@ -10,6 +10,7 @@ from nodeglass.operators import (
     windows,
 )
 from nodeglass.plans import reports
+from nodeglass.sources import views
 
 
 def rows_of(df, *columns):
@@ -181,6 +182,28 @@ def test_clones_in_parts_hold_every_node(make_nodes):
     assert clones.clone_totals(make_nodes([(1, "SN-1", False)])).first()[:] == (0, 0)
 
 
+def test_clone_members_with_null_and_repeated_keys(make_nodes):
+    rows = [(1, "SN-A", True), (1, "SN-A", None), (2, None, True), (3, None, False), (4, "SN-B", True), (None, "SN-B", True),
+            (5, "", True), (6, "", None), (7, "SN-C", False), (8, "SN-C", None)]
+    found = clones.clone_members(make_nodes(rows))
+    assert found.columns == ["serial_number", "node_uuid", "user_agent", "is_infected", "clone_count", "infected_count"]
+    got = sorted((r[0], r[1], r[4], r[5]) for r in found.collect())
+    assert got == [("", 5, 2, 1), ("", 6, 2, 1), ("SN-A", 1, 2, 1), ("SN-A", 1, 2, 1), ("SN-C", 7, 2, 0), ("SN-C", 8, 2, 0)]
+
+
+def test_clone_members_decode_once_a_side_after_the_rows_are_dealt(spark, tmp_path):
+    """One input file is one split; no serial may be decoded where it is read."""
+    customers = spark.range(100).selectExpr("id AS c_custkey", "CAST(id AS double) AS c_acctbal").coalesce(1)
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    found = clones.clone_members(views.nodes(spark, tmp_path))
+    assert sorted(r["node_uuid"] for r in found.collect()) == [48, 49, 98, 99]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("unbase64(") == 2 and plan.count("Exchange hashpartitioning(node_uuid") == 2
+    for read in plan.split("Exchange hashpartitioning(node_uuid")[1:]:
+        assert "unbase64(" not in read.split("FileScan")[0] and "unbase64(" not in read.split("FileScan")[1].split("\n")[0]
+
+
 # Windows, joins, checks --------------------------------------------------------
 
 def test_windows_at_the_edges(make_logs):
