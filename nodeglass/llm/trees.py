@@ -10,6 +10,10 @@ similarity reaches a threshold. The work goes in three steps.
    agree on at least one part that is not empty; so classes with an equal part
    belong to one group. Very common shingles are left out of the parts (not of
    the sets): without them linking sets differ in d shingles at most as well.
+   Sets that link agree on more parts than one if either has more parts than d + 1,
+   so a set leaves as many of its parts out as it can spare, those that most sets
+   have first. What agrees by chance is mostly left out so, and sets with too few
+   parts in common with any others leave altogether.
 3. Each group is joined by signature trees. A leaf holds a bitmap of one set's
    shingles, a node the OR of its children's bitmaps and their range of sizes.
    Pairs of nodes are taken down together and dropped as soon as their common
@@ -26,11 +30,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from nodeglass.llm import words
-from nodeglass.llm.graph import MEETING, components, meeting, meeting_edges
-from nodeglass.llm.tables import map_batches, stage, table
+from nodeglass.llm.graph import components
+from nodeglass.llm.tables import map_batches, release, stage, table
 from nodeglass.operators.skew import checked_broadcast
 
 SAMPLE_DOCUMENTS = 2048  # from which very common shingles are learned
@@ -43,6 +47,9 @@ PAIRS_AT_ONCE = 50_000  # node pairs
 PART_ROWS = 200_000  # rows of parts that a task hands on at once
 BAND_GROWTH = 1.25  # sizes of a band of chunks
 FANOUT = 4
+PARTS = "key long, id long, own long, others array<struct<id: long, own: long>>"
+ROOM = (1 << 32) - 1  # mask of the parts to spare in ``own``, beside the band
+FEWER = 0.9  # share of rows left by a round that makes another one worth while
 
 
 class Parts:
@@ -75,21 +82,39 @@ class Parts:
             spare = math.ceil(1.5 * need * math.exp(-self._bound(band) / need)) + 1 if need > 1 else 0
             yield band, need + spare, spare
 
+    def differ(self, n, band):
+        """In how many shingles a set of ``n`` differs from one it links with in ``band``, at most."""
+        other, end = n * 100 // self.percent, self._bound(band + 1)
+        if n >= end:  # the other one is the smaller
+            other = min(other, end - 1)
+        return (n + other) * (100 - self.percent) // (100 + self.percent)
 
-def part_keys(shingles, n, parts):
-    """Keys of the parts of a set (ascending ``shingles``, of ``n`` in all)."""
-    out = []
+
+def banded_keys(shingles, n, parts):
+    """(band, room, keys of the parts) of a set (ascending ``shingles``, of ``n`` in all).
+
+    With a set that links in the band it has more than ``room`` keys in common. So if
+    every set leaves out ``room`` keys, by the same order of all keys, the first key
+    in that order that two linking sets share stays in both.
+    """
     for band, count, spare in parts.bands(n):
         place = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         begin = np.flatnonzero(np.diff(place, prepend=np.uint64(count)))
         name = np.uint64((band << 40) + (count << 20))
+        out, filled = [], len(begin)
         if len(begin):
             sums = np.add.reduceat(words.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), begin)
             out.append(words.mix(sums + words.mix(place[begin] + name)))
         if count - len(begin) > spare:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place[begin])
             out.append(words.mix(words.mix(empty + name)))
-    return np.concatenate(out).view(np.int64)
+            filled = count - spare  # a set without keys of empty parts has so many at least
+        yield band, filled - parts.differ(n, band) - 1, np.concatenate(out).view(np.int64)
+
+
+def part_keys(shingles, n, parts):
+    """Keys of the parts of a set (ascending ``shingles``, of ``n`` in all)."""
+    return np.concatenate([keys for _, _, keys in banded_keys(shingles, n, parts)])
 
 
 def _keyed(docs, key, text):
@@ -131,21 +156,40 @@ def sets_of(docs, shingle):
     return map_batches(docs, name, "id long, h long, n long, k1 long, k2 long")
 
 
+def _met(keys, ids, owns):
+    """Arrow rows of ``PARTS``: each key once, with the first id that has it and the others."""
+    order = np.lexsort((ids, keys))
+    keys, ids, owns = keys[order], ids[order], owns[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    more = np.diff(np.append(np.flatnonzero(new), len(keys))) - 1
+    places = pa.array(np.concatenate(([0], np.cumsum(more))), pa.int32())
+    rest = pa.StructArray.from_arrays([pa.array(ids[~new]), pa.array(owns[~new])], names=["id", "own"])
+    others = pa.ListArray.from_arrays(places, rest, mask=pa.array(more == 0))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[new]), pa.array(ids[new]), pa.array(owns[new]), others], names=["key", "id", "own", "others"])
+
+
 def part_table(docs, shingle, percent, common):
-    """Classes under each of their parts, as ``meeting`` rows; a task tells a class once."""
+    """Classes under each of their parts, as ``PARTS`` rows; a task tells a class once.
 
-    def rows(keys, of):
-        return meeting(np.concatenate(keys), np.concatenate(of))
+    ``own`` has the band and the class's parts to spare there. What a task holds is
+    joined before it moves, so a part that a third of all classes have comes to the
+    shuffle once per call, not per class.
+    """
+
+    def rows(keys, of, owns):
+        return _met(np.concatenate(keys), np.concatenate(of), np.concatenate(owns))
 
     def cut(batches):
         parts, seen = Parts(percent), set()
         frequent = common.value
         for batch in batches:
-            keys, of, many = [], [], 0
+            keys, of, owns, many = [], [], [], 0
             for s in words.shingle_sets(batch["text"], shingle):
                 if many >= PART_ROWS:
-                    yield rows(keys, of)
-                    keys, of, many = [], [], 0
+                    yield rows(keys, of, owns)
+                    keys, of, owns, many = [], [], [], 0
                 k1 = int(words.set_key(s)[0]) if len(s) else None
                 if k1 is None or k1 in seen:
                     continue
@@ -154,13 +198,56 @@ def part_table(docs, shingle, percent, common):
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     rare = s[frequent[at] != s]
-                keys.append(part_keys(rare, len(s), parts))
-                of.append(np.full(len(keys[-1]), k1))
-                many += len(keys[-1])
+                for band, room, found in banded_keys(rare, len(s), parts):
+                    keys.append(found)
+                    of.append(np.full(len(found), k1))
+                    owns.append(np.full(len(found), (band << 32) + room))
+                    many += len(found)
             if keys:
-                yield rows(keys, of)
+                yield rows(keys, of, owns)
+
+    return map_batches(docs, cut, PARTS)
+
+
+def shared_parts(parts):
+    """(key, id, own, many) of ``PARTS`` rows whose key two classes or more have.
 
-    return map_batches(docs, cut, MEETING)
+    ``many`` orders the keys by the rows they have.
+    """
+    of_key = Window.partitionBy("key")
+    counted = parts.select(
+        "*", F.sum(F.lit(1) + F.coalesce(F.array_size("others"), F.lit(0))).over(of_key).alias("many"),
+        (F.min("id").over(of_key) < F.max("id").over(of_key)).alias("met"))
+    holders = F.concat(F.array(F.struct("id", "own")), F.coalesce("others", F.array().cast("array<struct<id: long, own: long>>")))
+    return counted.where("met OR others IS NOT NULL").select("key", "many", F.inline(holders)).select("key", "id", "own", "many")
+
+
+def part_edges(parts):
+    """Edges (a, b) that connect all classes that may link, from ``PARTS`` rows.
+
+    A class leaves out the parts it can spare, in each band those that most classes
+    have. One that has no other part in common with any class links with none there
+    and goes; then the parts of those that stay are counted anew, while that ends more.
+    """
+    rows = stage(shared_parts(parts), "shared-parts")
+    release(rows.sparkSession)
+    rows, before = rows.repartition("id").distinct(), None
+    room = F.col("own").bitwiseAND(F.lit(ROOM))
+    own = Window.partitionBy("id", "own")
+    while True:
+        ranked = rows.select(
+            "key", "id", "own", F.row_number().over(own.orderBy(F.desc("many"), F.desc("key"))).alias("rank"),
+            F.count(F.lit(1)).over(own).alias("all"))
+        held = stage(ranked.where(F.col("all") > room), "parts-to-meet")
+        left = held.count()
+        if before is not None and left >= FEWER * before:
+            break
+        before = left
+        counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+        rows = held.select("key", "id", "own").join(counts, "key")
+    kept = held.where(F.col("rank") > room).select("key", "id")
+    least = kept.groupBy("key").agg(F.min("id").alias("b"))
+    return kept.join(least, "key").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
 
 
 class Tree:
@@ -315,6 +402,7 @@ def set_links(classes, docs, groups, shingle, percent):
     wanted = checked_broadcast(stage(members.select(F.col("rep.id").alias("_doc"), F.col("rep.h").alias("_h"), F.col("id").alias("_class")).distinct(), "wanted"))
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")))
     texts = stage(texts.select(F.col("_class").alias("id"), "text").dropDuplicates(["id"]), "texts-in-groups")
+    release(docs.sparkSession)
     rows = placed.join(texts, "id").withColumn(
         "_bin", F.pmod(F.xxhash64("_group", "_one", "_two"), F.lit(bins)))
 
@@ -346,11 +434,12 @@ def jaccard_firsts(docs, key="doc_id", text="text", shingle=5, percent=80):
     sets = stage(sets_of(docs, shingle), "sets")
     own, least = F.struct("id", "h"), lambda x, has: F.coalesce(F.min(F.when(has, x)), F.min(x))
     classes = stage(sets.where("n > 0").groupBy("k1", "k2", "n").agg(least(own, F.col("id").isNotNull()).alias("rep")), "set-classes")
-    together = meeting_edges(part_table(docs, shingle, percent, common))
+    together = part_edges(part_table(docs, shingle, percent, common))
     groups = stage(components(together, "set-groups"), "set-groups")
     links = components(set_links(classes, docs, groups, shingle, percent), "set-links")
     named = stage(classes.join(links, classes["k1"] == links["id"], "left").select(
         "k1", "k2", "n", "rep", F.coalesce("component", "k1").alias("component")), "set-components")
+    release(spark)
     firsts = named.groupBy("component").agg(least(F.col("rep"), F.col("rep.id").isNotNull()).alias("first"))
     return sets.join(named.join(firsts, "component").drop("rep", "component"), ["k1", "k2", "n"], "left").select(
         "id", "h", F.col("n").alias("n_shingles"), "first")
